@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.llm import decontamination, language, licences, mixing, pseudonyms, quality, tokens
+from docmill.llm import decontamination, language, licences, mixing, pseudonyms, quality, simhash, tokens
 
-MODULES = (licences, tokens, quality, decontamination, pseudonyms, mixing, language)
+MODULES = (simhash, licences, tokens, quality, decontamination, pseudonyms, mixing, language)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
