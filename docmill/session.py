@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that an operator may broadcast after measuring it.
@@ -56,6 +56,13 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit in limit bytes, else df, which joins by shuffle."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
+def broadcast_if_small(
+    df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES, more: Column | None = None
+) -> DataFrame:
+    """df with a broadcast hint if its measured rows fit in limit bytes, else df, which joins by shuffle.
+
+    A row counts bytes_per_row, and the bytes in more if its width varies.
+    """
+    width = F.lit(bytes_per_row) + (F.coalesce(more, F.lit(0)) if more is not None else 0)
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
