@@ -200,6 +200,19 @@ def identify_language(
     return map_texts(docs, run, f"doc_id {id_type(docs, id_col)}, lang_pred string, score double", id_col, text_col)
 
 
+def identified_only(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
+    """The rows of docs in some learned language, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            names, _ = predict(shared.value, batch.column(at))
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fitted_parser(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
     """A parser learned from a bounded sample of the labelled rows that are not held out."""
     return build_parser(labelled_sample(docs.where(~held_out(id_col)), id_col, text_col, lang_col))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.columns import map_texts, utf8_values
 from docmill.llm.components import connected_components
-from docmill.session import Scratch
+from docmill.session import Scratch, broadcast_if_small
 
 SHINGLE = 4
 SEED = 42
@@ -167,11 +167,14 @@ def near_duplicate_groups(
 
 
 def first_of_groups(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs of each group, the one with the smallest id and then the least text; all its columns."""
+    """One row of docs of each group, that with the smallest id; all its columns. Of rows that repeat an id, any one."""
+    scratch = Scratch(docs.sparkSession)
     groups = near_duplicate_groups(docs, n, id_col, text_col)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.alias("d").join(keep, F.col(f"d.`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id"))
+    keep = scratch.table(keep.agg(F.count("*").alias("rows")), "kept")
+    kept = docs.alias("d").join(broadcast_if_small(keep, 24), F.col(f"d.`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = kept.select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    return kept.dropDuplicates([id_col]) if keep.where("rows > 1").limit(1).count() else kept
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
