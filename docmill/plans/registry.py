@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from docmill.plans import lexical, retrieval
+
+MODULES = (lexical, retrieval)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for m in MODULES for n, q in m.QUERIES.items()}
+ORACLE: dict[str, str] = {n: s for m in MODULES for n, s in m.ORACLE.items()}
