@@ -95,11 +95,13 @@ class CrossParser:
             to = self.table[state[:active] * n + c]
             missed = to < 0
             counts[:active] += missed
-            state[:active] = np.where(missed, self.table[self.roots * n + c], to)
-            stuck = state[:active] < 0
+            now = np.where(missed, self.table[self.roots * n + c], to)
+            stuck = now < 0  # a symbol that the sample lacks is a phrase of its own
             if stuck.any():
-                state[:active] = np.where(stuck, self.roots, state[:active])
-        return counts + 1
+                counts[:active] += stuck & (state[:active] != self.roots)
+                now = np.where(stuck, self.roots, now)
+            state[:active] = now
+        return counts + (state != self.roots)
 
 
 def build_parser(samples: dict[str, bytes]) -> CrossParser:
