@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators import evaluation, incremental, lexical
 from docmill.plans.lexical import documents, questions, scores_sql
-from docmill.session import shared_dir
+from docmill.session import broadcast_if_small, shared_dir
 from docmill.streaming import ingest
 
 NOW = "timestamp '2024-01-28 00:00:00'"
@@ -167,7 +167,7 @@ def true_documents(spark, sf_dir):
     items = questions(spark, sf_dir)
     words = items.select("query_id", F.col("text").alias("passage"), F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
     posts = lexical.postings(docs).select("doc_id", "term")
-    rarity = posts.join(F.broadcast(words.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarity = posts.join(broadcast_if_small(words.select("term").distinct(), 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = words.join(rarity, "term").groupBy("query_id", "passage").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     near = rare.join(posts, "term").join(docs.select("doc_id", "text"), "doc_id")
     return near.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
