@@ -3,9 +3,10 @@
 Every byte covered by a min_length string that also starts earlier (in a
 document of smaller id, or earlier in the same one) is removed.
 
-1. Anchors. A short k-gram is an anchor if its hash is the least in some window
-   of min_length bytes, so equal strings hold equal anchors at equal places. An
-   anchor's context is all min_length strings that hold it.
+1. Anchors. The anchor of a min_length string is the first of its k-grams with
+   the least hash, so equal strings have equal anchors at equal places. The
+   context of a place with an anchor is the strings that have it as theirs,
+   which lie side by side.
 2. Contexts meet by anchor, one entry for each distinct context and task. All
    but the first of equal contexts are covered whole. Anchors with one context
    are done; first contexts of the others go on.
@@ -32,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import utf8_values
-from docmill.llm.kernels import BLOCK, packed, prefix_hashes, span_hashes, unpacked
+from docmill.llm.columns import sliced, utf8_values
+from docmill.llm.kernels import packed, prefix_hashes, span_hashes, unpacked
 from docmill.session import Scratch, broadcast_if_small
 
 MIN_LENGTH = 100
 KGRAM = 32
 #: Anchors that a task holds before it sends them, and that one range of the hash space gets, about.
-ANCHORS_AT_ONCE = 1 << 20
-RANGE_TEXT = 48 << 20
+ANCHORS_AT_ONCE = 1 << 19
+RANGE_TEXT = 12 << 20
 #: Context bytes of a block, about.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes of text that are hashed together.
+TEXT_BYTES = 1 << 18
 #: Distinct contexts of an anchor that go to a block; in one task's entries or in all.
 HOT_LOCAL, HOT = 256, 1024
 
@@ -58,34 +61,36 @@ def windowed(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - reach)], out[width - reach :]) if width > reach else out
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors in the texts data[starts:ends]; also the prefix hashes."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int):
+    """Anchors of the texts data[starts:ends]: place, hash, first and last string start of each, and all prefix hashes."""
     prefixes = prefix_hashes(data)
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), prefixes
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none, prefixes
     at = np.arange(len(data) - k + 1)
     hashes = span_hashes(prefixes, at, at + k)
-    short = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    width = length - k + 1
-    least = windowed(short, width, np.minimum)
+    keyed = hashes >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64)  # the first of equal hashes is least
+    least = (windowed(keyed, length - k + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     room = np.zeros(len(data) + 1, np.int32)
     whole = np.maximum(ends - starts - length + 1, 0)
     some = whole > 0
     np.add.at(room, starts[some], 1)
     np.add.at(room, starts[some] + whole[some], -1)
-    least = np.where(np.cumsum(room[: len(least)]) > 0, least, 0).astype(np.uint32)
-    padded = np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)])
-    most = windowed(padded, width, np.maximum)
-    chosen = np.flatnonzero((most == short[: len(most)]) & (most > 0))
-    return chosen, hashes[chosen], prefixes
+    strings = np.flatnonzero(np.cumsum(room[: len(least)]))
+    least = least[strings]
+    new = np.append(True, least[1:] != least[:-1]) if len(least) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(least)) - 1 if len(least) else first
+    place = least[first]
+    return place, hashes[place], strings[first], strings[last], prefixes
 
 
 def text_blocks(texts: list[bytes]) -> list[tuple[int, int]]:
-    """Ranges of texts of about BLOCK bytes together."""
+    """Ranges of texts of about TEXT_BYTES together."""
     out, first, size = [], 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= BLOCK:
+        if size >= TEXT_BYTES:
             out.append((first, i + 1))
             first, size = i + 1, 0
     if first < len(texts):
@@ -123,12 +128,11 @@ def entries(ids: np.ndarray, ties: np.ndarray, texts: list[bytes], length: int,
     parts = []
     for a, b in text_blocks(texts):
         data, starts, ends = joined(texts[a:b])
-        place, hashes, prefixes = anchors(data, starts, ends, length, k)
+        place, hashes, left, right, prefixes = anchors(data, starts, ends, length, k)
         if not len(place):
             continue
         owner = np.searchsorted(ends, place, "right")
-        left = np.maximum(place - (length - k), starts[owner])
-        right = np.minimum(place + length, ends[owner])
+        right = right + length
         context = span_hashes(prefixes, left, right) + (place - left).astype(np.uint64)
         base = starts[owner]
         parts.append((hashes, context, ids[a:b][owner], ties[a:b][owner], left - base, right - base))
@@ -137,14 +141,15 @@ def entries(ids: np.ndarray, ties: np.ndarray, texts: list[bytes], length: int,
     return {n: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind) for i, (n, kind) in enumerate(zip(names, kinds))}
 
 
-def found_rows(ids, ties, starts, ends, codes) -> pa.RecordBatch:
+def found_rows(ids, ties, starts, ends, codes, keys=None) -> pa.RecordBatch:
+    keys = pa.array(keys.view(np.int64)) if keys is not None else pa.nulls(len(ids), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(codes, pa.int8())],
-        names=["id", "tie", "start", "end", "code"],
+        [*(pa.array(x, pa.int64()) for x in (ids, ties, starts, ends)), pa.array(codes, pa.int8()), keys],
+        names=["id", "tie", "start", "end", "code", "anchor"],
     )
 
 
-FOUND = "id bigint, tie bigint, start bigint, end bigint, code tinyint"
+FOUND = "id bigint, tie bigint, start bigint, end bigint, code tinyint, anchor bigint"
 #: What found rows say of their span: covered; its text goes to a block; its strings go one by one.
 COVERED, BLOCKED, SINGLY = 0, 1, 2
 
@@ -178,21 +183,13 @@ def local_entries(rows: DataFrame, ranges: int, length: int, k: int) -> DataFram
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            texts = utf8_values(batch.column(2))
+        for batch in sliced(batches):
             ids, ties = (np.array(batch.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
-            at = 0
-            while at < len(texts):
-                to, grown = at, 0
-                while to < len(texts) and grown < 8 * BLOCK:
-                    grown += len(texts[to])
-                    to += 1
-                held.append(entries(ids[at:to], ties[at:to], texts[at:to], length, k))
-                size += len(held[-1]["anchor"])
-                at = to
-                if size >= ANCHORS_AT_ONCE:
-                    yield send(held)
-                    held, size = [], 0
+            held.append(entries(ids, ties, utf8_values(batch.column(2)), length, k))
+            size += len(held[-1]["anchor"])
+            if size >= ANCHORS_AT_ONCE:
+                yield send(held)
+                held, size = [], 0
         if size:
             yield send(held)
 
@@ -236,46 +233,39 @@ def met_contexts(packed_rows: DataFrame) -> DataFrame:
         on, single = order[new & many & ~hot], order[new & many & hot]
         whole = np.concatenate([later, on, single])
         codes = np.repeat(np.array([COVERED, BLOCKED, SINGLY], np.int8), [len(later), len(on), len(single)])
-        return pa.Table.from_batches([found_rows(e["id"][whole], e["tie"][whole], e["start"][whole], e["end"][whole], codes)])
+        return pa.Table.from_batches([found_rows(e["id"][whole], e["tie"][whole], e["start"][whole], e["end"][whole], codes, e["anchor"][whole])])
 
     return packed_rows.where("range >= 0").groupBy("range").applyInArrow(run, FOUND)
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """id, tie and the spans (start, end, code) of each document."""
-    return found.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end", "code")).alias("spans"))
+    """id, tie and the spans (start, end, code, anchor) of each document."""
+    return found.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end", "code", "anchor")).alias("spans"))
 
 
-def span_arrays(cell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def span_arrays(cell) -> tuple[np.ndarray, ...]:
     spans = cell.values
-    return tuple(spans.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end", "code"))
+    return tuple(spans.field(n).fill_null(0).to_numpy(zero_copy_only=False) for n in ("start", "end", "code", "anchor"))
 
 
-def contexts_and_strings(near: DataFrame, length: int, k: int, blocks: int) -> DataFrame:
+def contexts_and_strings(near: DataFrame, length: int, blocks: int) -> DataFrame:
     """Texts of contexts for the blocks, and hashes of single strings, of documents with their spans."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = utf8_values(batch.column(2))
             out: list[tuple] = []
             singles = []
             for row, text in enumerate(texts):
                 who = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                starts, ends, codes = span_arrays(batch.column(3)[row])
-                data = np.frombuffer(text, np.uint8)
-                want = np.flatnonzero(codes == BLOCKED)
-                if len(want):
-                    place, hashes, _ = anchors(data, np.array([0]), np.array([len(text)]), length, k)
-                    left, right = np.maximum(place - (length - k), 0), np.minimum(place + length, len(text))
-                    wanted = set(zip(starts[want].tolist(), ends[want].tolist()))
-                    for h, a, b in zip((hashes % np.uint64(blocks)).tolist(), left.tolist(), right.tolist()):
-                        if (a, b) in wanted:
-                            out.append((h, *who, a, text[a:b]))
+                starts, ends, codes, keys = span_arrays(batch.column(3)[row])
+                for i in np.flatnonzero(codes == BLOCKED).tolist():
+                    out.append((int(keys[i]) % blocks, *who, int(starts[i]), text[starts[i] : ends[i]]))
                 want = codes == SINGLY
                 if want.any():
                     a, b = merged(starts[want], ends[want])
                     at = np.concatenate([np.arange(x, y - length + 1) for x, y in zip(a, b)])
-                    hashes = span_hashes(prefix_hashes(data), at, at + length)
+                    hashes = span_hashes(prefix_hashes(np.frombuffer(text, np.uint8)), at, at + length)
                     singles.append((hashes, np.full(len(at), who[0]), np.full(len(at), who[1]), at))
             if out:
                 cols = list(zip(*out))
@@ -294,21 +284,28 @@ def contexts_and_strings(near: DataFrame, length: int, k: int, blocks: int) -> D
 
 
 def sorted_suffixes(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Places of the suffixes in order of their first length symbols, by doubling."""
+    """Places of the suffixes in order of their first length symbols, or more: packed symbols, then doubling."""
     n = len(symbols)
-    rank, reach = symbols.astype(np.int64), 1
-    bits = max(1, int(n + 257).bit_length())
+    used = np.zeros(int(symbols.max()) + 1, np.int64)
+    used[symbols] = 1
+    dense = np.cumsum(used)[symbols].astype(np.uint64)  # from 1; 0 is past the end
+    bits = int(used.sum()).bit_length()
+    reach = max(1, min(64 // bits, length, n))
+    key = np.zeros(n, np.uint64)
+    for i in range(reach):
+        key <<= np.uint64(bits)
+        key[: n - i] |= dense[i:]
+    shift = np.uint64((n + 1).bit_length())
     while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - reach)] = rank[reach:] + 1
-        key = rank << bits | after
-        order = np.argsort(key, kind="stable")
-        ranked = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = ranked
-        reach *= 2
+        order = np.argsort(key)
+        ranked = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
         if reach >= length or ranked[-1] == n - 1:
             return order
+        rank = np.empty(n, np.uint64)
+        rank[order] = ranked
+        key = rank << shift
+        key[: n - reach] |= rank[reach:] + np.uint64(1)
+        reach *= 2
 
 
 def long_borders(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +372,7 @@ def single_repeats(singles: DataFrame, length: int) -> DataFrame:
     place = F.struct("id", "tie", "start")
     firsts = singles.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     later = singles.join(firsts.select("key", "first"), "key").where(place > F.col("first"))
-    return later.select("id", "tie", "start", (F.col("start") + length).alias("end"), F.lit(COVERED).cast("tinyint").alias("code"))
+    return later.select("id", "tie", "start", (F.col("start") + length).alias("end"), F.lit(COVERED).cast("tinyint").alias("code"), F.lit(None).cast("bigint").alias("anchor"))
 
 
 def remaining(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
@@ -415,8 +412,8 @@ def remove_repeats(
     open_spans = scratch.table(by_document(found.where(F.col("code") != COVERED)), "open")
     context_bytes = found.where(F.col("code") == BLOCKED).agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     blocks = max(1, context_bytes // block_bytes)
-    joined_rows = rows.select("id", "tie", "text").join(broadcast_if_small(open_spans, 64, more=24 * F.size("spans")), ["id", "tie"])
-    pieces = scratch.table(contexts_and_strings(joined_rows, length, k, int(blocks)), "pieces")
+    joined_rows = rows.select("id", "tie", "text").join(broadcast_if_small(open_spans, 64, more=32 * F.size("spans")), ["id", "tie"])
+    pieces = scratch.table(contexts_and_strings(joined_rows, length, int(blocks)), "pieces")
     blocked = pieces.where(F.col("text").isNotNull()).groupBy("key").applyInArrow(lambda t: block_repeats(t, length), FOUND)
     singles = single_repeats(pieces.where(F.col("text").isNull()).drop("text"), length)
     covered = found.where(F.col("code") == COVERED).unionByName(blocked).unionByName(singles)
@@ -424,7 +421,7 @@ def remove_repeats(
     whole = rows.join(broadcast_if_small(covered, 64, more=F.octet_length("spans")), ["id", "tie"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = utf8_values(batch.column(1))
             spans = batch.column(2).to_pylist()
             out = []
