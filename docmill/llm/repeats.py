@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.columns import sliced, utf8_values
-from docmill.llm.kernels import packed, prefix_hashes, span_hashes, unpacked
+from docmill.llm.kernels import mixed, packed, prefix_hashes, span_hashes, unpacked
 from docmill.session import Scratch, broadcast_if_small
 
 MIN_LENGTH = 100
@@ -82,7 +82,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(least)) - 1 if len(least) else first
     place = least[first]
-    return place, hashes[place], strings[first], strings[last], prefixes
+    # least hashes start with zeros, so they are mixed anew to fill the ranges evenly
+    return place, mixed(hashes[place]), strings[first], strings[last], prefixes
 
 
 def text_blocks(texts: list[bytes]) -> list[tuple[int, int]]:
