@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import sliced, utf8_values
+from docmill.llm.columns import give_back, sliced, utf8_values
 from docmill.llm.kernels import mixed, packed, prefix_hashes, span_hashes, unpacked
 from docmill.session import Scratch, broadcast_if_small
 
@@ -43,7 +43,7 @@ KGRAM = 32
 ANCHORS_AT_ONCE = 1 << 19
 RANGE_TEXT = 12 << 20
 #: Context bytes of a block, about.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 #: Bytes of text that are hashed together.
 TEXT_BYTES = 1 << 18
 #: Distinct contexts of an anchor that go to a block; in one task's entries or in all.
@@ -193,6 +193,8 @@ def local_entries(rows: DataFrame, ranges: int, length: int, k: int) -> DataFram
                 held, size = [], 0
         if size:
             yield send(held)
+        held = []
+        give_back()
 
     return rows.mapInArrow(run, "range int, id binary, tie binary, start binary, end binary, anchor binary, context binary")
 
@@ -234,6 +236,7 @@ def met_contexts(packed_rows: DataFrame) -> DataFrame:
         on, single = order[new & many & ~hot], order[new & many & hot]
         whole = np.concatenate([later, on, single])
         codes = np.repeat(np.array([COVERED, BLOCKED, SINGLY], np.int8), [len(later), len(on), len(single)])
+        give_back()
         return pa.Table.from_batches([found_rows(e["id"][whole], e["tie"][whole], e["start"][whole], e["end"][whole], codes, e["anchor"][whole])])
 
     return packed_rows.where("range >= 0").groupBy("range").applyInArrow(run, FOUND)
@@ -365,6 +368,7 @@ def block_repeats(table: pa.Table, length: int) -> pa.Table:
     new = first_of_equal(by, run)
     first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
     later = by[(i[first] != i[by]) | (t[first] != t[by]) | (at[first] != at[by])]
+    give_back()
     return pa.Table.from_batches([found_rows(i[later], t[later], at[later], at[later] + length, np.full(len(later), COVERED, np.int8))])
 
 
@@ -416,13 +420,14 @@ def remove_repeats(
     joined_rows = rows.select("id", "tie", "text").join(broadcast_if_small(open_spans, 64, more=32 * F.size("spans")), ["id", "tie"])
     pieces = scratch.table(contexts_and_strings(joined_rows, length, int(blocks)), "pieces")
     blocked = pieces.where(F.col("text").isNotNull()).groupBy("key").applyInArrow(lambda t: block_repeats(t, length), FOUND)
+    blocked = scratch.table(blocked, "blocked")  # else two Python workers a task stand side by side
     singles = single_repeats(pieces.where(F.col("text").isNull()).drop("text"), length)
     covered = found.where(F.col("code") == COVERED).unionByName(blocked).unionByName(singles)
     covered = scratch.table(packed_spans(covered), "covered")
     whole = rows.join(broadcast_if_small(covered, 64, more=F.octet_length("spans")), ["id", "tie"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, 200):
             texts = utf8_values(batch.column(1))
             spans = batch.column(2).to_pylist()
             out = []
