@@ -417,7 +417,7 @@ def remove_repeats(
     open_spans = scratch.table(by_document(found.where(F.col("code") != COVERED)), "open")
     context_bytes = found.where(F.col("code") == BLOCKED).agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     blocks = max(1, context_bytes // block_bytes)
-    joined_rows = rows.select("id", "tie", "text").join(broadcast_if_small(open_spans, 64, more=32 * F.size("spans")), ["id", "tie"])
+    joined_rows = rows.select("id", "tie", "text").join(open_spans, ["id", "tie"])
     pieces = scratch.table(contexts_and_strings(joined_rows, length, int(blocks)), "pieces")
     blocked = pieces.where(F.col("text").isNotNull()).groupBy("key").applyInArrow(lambda t: block_repeats(t, length), FOUND)
     blocked = scratch.table(blocked, "blocked")  # else two Python workers a task stand side by side
