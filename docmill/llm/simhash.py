@@ -16,27 +16,26 @@ the least one. That is exact and linear in the number of fingerprints.
 Defined cases: a null, empty or blank text has no shingle and fingerprint zero,
 which links like any other; a text of fewer words than a shingle has one
 shingle, its whole sequence; repeated rows share a group; a null id stays and
-gets its group's smallest id, null if it has none; an empty table gives an
-empty result; other columns are ignored by near_duplicate_groups() and kept by
-first_of_groups().
+gets its group's smallest id, null if it has none; an empty table gives an empty result; other columns are ignored by
+near_duplicate_groups() and kept by first_of_groups().
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import map_texts, utf8_values
+from docmill.llm.columns import map_texts, sliced, utf8_values
 from docmill.llm.components import connected_components
+from docmill.llm.near_copies import arrays, digests, distinct, frequent_shingles, linked_near_copies, prefix
 from docmill.session import Scratch, broadcast_if_small
 
 SHINGLE = 4
-SEED = 42
 #: Bits that linked fingerprints may differ in.
 DISTANCE = 4
 #: Bits of the ring's segments, and of the four blocks of each.
@@ -44,25 +43,19 @@ SEGMENTS = (13, 13, 13, 13, 12)
 BLOCKS = {13: (4, 3, 3, 3), 12: (3, 3, 3, 3)}
 #: Fingerprints at one meeting place that are paired; more go by their neighbours.
 PAIRED = 64
-#: Hashes that are in memory together.
-HASHES_AT_ONCE = 1 << 16
 
 
 def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     """The SimHash of a UTF-8 text as an unsigned number; zero without words."""
-    joined = b" ".join(text.lower().split())
-    if not joined:
-        return 0
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.concatenate([[0], gaps + 1])
-    ends = np.append(gaps, len(joined))
-    count = max(1, len(starts) - n + 1)
-    starts, ends = starts[:count].tolist(), ends[min(n, len(ends)) - 1 :].tolist()
-    digest = xxhash.xxh64_digest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, count, HASHES_AT_ONCE):
-        some = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + HASHES_AT_ONCE], ends[at : at + HASHES_AT_ONCE])])
+    return folded(digests(text, n))
+
+
+def folded(parts: Iterable[bytes]) -> int:
+    """The SimHash of joined shingle hashes."""
+    ones, count = np.zeros(64, np.int64), 0
+    for some in parts:
         ones += np.unpackbits(np.frombuffer(some, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        count += len(some) // 8
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
@@ -167,10 +160,31 @@ def near_duplicate_groups(
 
 
 def first_of_groups(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs of each group, that with the smallest id; all its columns. Of rows that repeat an id, any one."""
+    """One row of docs of each group, with all its columns; groups join SimHash links and near copies by Jaccard similarity.
+
+    It is the row with the smallest id. Of rows that repeat an id, any one.
+    """
     scratch = Scratch(docs.sparkSession)
-    groups = near_duplicate_groups(docs, n, id_col, text_col)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tx"))
+    frequent, counts = frequent_shingles(texts, n)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            parts = [list(digests(x, n)) for x in utf8_values(part.column(1))]
+            found = np.array([folded(p) for p in parts], np.uint64).view(np.int64)
+            sets = [distinct(p) for p in parts]
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            prefixes = arrays([prefix(x, *shared.value) for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found), sizes, prefixes], names=["doc_id", "tx", "node", "size", "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = scratch.table(texts.mapInArrow(run, f"doc_id {kind}, tx bigint, node bigint, size bigint, prefix array<bigint>"), "prefixes")
+    nodes = scratch.table(rows.select(F.col("node").alias("fp"), "node").distinct(), "nodes")
+    groups = linked_near_copies(rows, texts, links(nodes, scratch), n, Scratch(docs.sparkSession))
+    own = rows.join(groups, "node", "left").select(F.coalesce("component", "node").alias("component"), "doc_id")
+    ids = own.groupBy("component").agg(F.min("doc_id").alias("least"))
+    keep = own.join(ids, "component").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy(F.col("doc_id").alias("kept_id"))
     keep = scratch.table(keep.agg(F.count("*").alias("rows")), "kept")
     kept = docs.alias("d").join(broadcast_if_small(keep, 24), F.col(f"d.`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi")
     kept = kept.select(*(F.col(f"d.`{c}`") for c in docs.columns))

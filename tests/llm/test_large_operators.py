@@ -128,6 +128,47 @@ def test_simhash_cases(spark):
     assert simhash.near_duplicate_groups(df.limit(0)).count() == 0
 
 
+def five_words(text: str) -> set:
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_near_copies(texts: dict) -> dict:
+    """The least id of each text's group over SimHash links and pairs of a Jaccard similarity of 0.8."""
+    prints = {i: slow_fingerprint(t, 5) for i, t in texts.items()}
+    sets, group = {i: five_words(t) for i, t in texts.items()}, {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            alike = (prints[a] ^ prints[b]).bit_count() <= 4 or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0
+            if a < b and alike and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("frequent", [2, 10**6])
+def test_near_copies(spark, monkeypatch, frequent):
+    from docmill.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    rng = random.Random(11)
+    common, texts = "this line stands in very many of the texts here", []
+    for family in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 120))]
+        for _ in range(rng.choice([1, 3, 12])):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own) + (f" {common}" if family % 2 else ""))
+    texts += [texts[0].upper(), texts[3], common, "one two", "one two", "two one"]
+    rng.shuffle(texts)
+    own = dict(enumerate(texts))
+    groups, prints = slow_near_copies(own), slow_groups({i: slow_fingerprint(t, 5) for i, t in own.items()})
+    kept = sorted(r["doc_id"] for r in simhash.first_of_groups(clashing(documents(spark, texts)), 5).collect())
+    assert kept == sorted(set(groups.values())) and len(kept) < len(set(prints.values()))
+
+
 # --- decontamination
 
 
