@@ -16,7 +16,9 @@ the least one. That is exact and linear in the number of fingerprints.
 Defined cases: a null, empty or blank text has no shingle and fingerprint zero,
 which links like any other; a text of fewer words than a shingle has one
 shingle, its whole sequence; repeated rows share a group; a null id stays and
-gets its group's smallest id, null if it has none; an empty table gives an empty result; other columns are ignored by
+gets its group's smallest id, null if it has none; first_of_groups() tells rows
+apart by id and text, so groups that share an id, or have none, keep a row each;
+an empty table gives an empty result; other columns are ignored by
 near_duplicate_groups() and kept by first_of_groups().
 """
 
@@ -162,7 +164,7 @@ def near_duplicate_groups(
 def first_of_groups(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each group, with all its columns; groups join SimHash links and near copies by Jaccard similarity.
 
-    It is the row with the smallest id. Of rows that repeat an id, any one.
+    It is the row with the smallest id, nulls last, then of the least text hash.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tx"))
@@ -182,13 +184,15 @@ def first_of_groups(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", t
     rows = scratch.table(texts.mapInArrow(run, f"doc_id {kind}, tx bigint, node bigint, size bigint, prefix array<bigint>"), "prefixes")
     nodes = scratch.table(rows.select(F.col("node").alias("fp"), "node").distinct(), "nodes")
     groups = linked_near_copies(rows, texts, links(nodes, scratch), n, Scratch(docs.sparkSession))
-    own = rows.join(groups, "node", "left").select(F.coalesce("component", "node").alias("component"), "doc_id")
-    ids = own.groupBy("component").agg(F.min("doc_id").alias("least"))
-    keep = own.join(ids, "component").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy(F.col("doc_id").alias("kept_id"))
-    keep = scratch.table(keep.agg(F.count("*").alias("rows")), "kept")
-    kept = docs.alias("d").join(broadcast_if_small(keep, 24), F.col(f"d.`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi")
-    kept = kept.select(*(F.col(f"d.`{c}`") for c in docs.columns))
-    return kept.dropDuplicates([id_col]) if keep.where("rows > 1").limit(1).count() else kept
+    own = rows.join(groups, "node", "left").select(F.coalesce("component", "node").alias("component"), "doc_id", "tx")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("least")
+    keep = own.groupBy("component").agg(least).select(F.col("least.doc_id").alias("kept_id"), F.col("least.tx").alias("kept_tx"))
+    keep = scratch.table(keep, "kept")
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("kept_id")) & (F.xxhash64(f"d.`{text_col}`") == F.col("kept_tx"))
+    kept = docs.alias("d").join(broadcast_if_small(keep, 32), same, "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    repeated = own.join(broadcast_if_small(keep, 32), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tx") == F.col("kept_tx")), "left_semi")
+    repeated = repeated.groupBy("doc_id", "tx").agg(F.count("*").alias("rows")).where("rows > 1")
+    return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,16 @@ def test_near_copies(spark, monkeypatch, frequent):
     assert kept == sorted(set(groups.values())) and len(kept) < len(set(prints.values()))
 
 
+def test_kept_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, t, "en", "a", 1) for t in texts[:3] * 2] + [(7, t, "en", "a", 1) for t in texts[3:]]
+    rows += [(8, texts[0], "en", "a", 1)]  # a group with an id keeps the row that has it
+    kept = simhash.first_of_groups(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    expected = {(8, texts[0]), (None, texts[1]), (None, texts[2])} | {(7, t) for t in texts[3:]}
+    assert {(r["doc_id"], r["text"]) for r in kept} == expected and len(kept) == 6
+
+
 # --- decontamination
 
 
