@@ -32,7 +32,8 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 #: Days that a date may fall on: 1900-01-01 to 2099-12-31.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-HINT = re.compile(r"[0-9@=]")
+#: In every text that CANDIDATE matches: digits, mail addresses, named secrets, and the leads of secrets.
+HINT = re.compile(r"[\d@=:]|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA")
 CANDIDATE = re.compile(
     r"(?P<email>[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<body>[A-Za-z0-9+/_\-]{16,})|\b(?:sk|pk|ghp|gho|xox[bp])[-_](?P<body2>[A-Za-z0-9_\-]{16,})|\bAKIA(?P<body3>[A-Z0-9]{16})\b)"
