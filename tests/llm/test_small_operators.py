@@ -203,6 +203,20 @@ def test_hint_skips_no_candidate(monkeypatch):
     assert all(x[0] != t for x, t in zip(hinted, SECRETS))
 
 
+def test_numbers_beside_numbers():
+    def done(text):
+        return pseudonyms.pseudonymise(text)
+
+    card = done("4111111111111111")[0]
+    assert done("4111111111111111 123") == (f"{card} 123", {"card": 1})
+    assert done("4111111111111111 4111111111111111") == (f"{card} {card}", {"card": 2})
+    phones = [done(x)[0] for x in ("555-123-4567", "555-987-6543")]
+    assert done("555-123-4567 2023") == (f"{phones[0]} 2023", {"phone": 1})
+    assert done("555-123-4567 555-987-6543") == (" ".join(phones), {"phone": 2})
+    assert done("12 4111111111111111") == (f"12 {card}", {"card": 1})
+    assert done("4111111111111111123") == ("4111111111111111123", {})  # one run of digits is one number
+
+
 # --- languages
 
 
