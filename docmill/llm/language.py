@@ -167,7 +167,10 @@ def predict(parser: CrossParser, texts: pa.Array) -> tuple[list[str], list[float
 def labelled_sample(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, bytes]:
-    """Bounded text of each language: about SAMPLE_DOCS documents chosen by hash of the id."""
+    """Bounded text of each language: about SAMPLE_DOCS documents chosen by hash of the id.
+
+    Texts of few words come last, so they count where words aren't spaced or others don't fill the bounds.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -178,8 +181,8 @@ def labelled_sample(
         F.col(lang_col).alias("lang"), place.alias("place"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")
     )
     found: dict[str, list[bytes]] = {}
-    for r in sorted(near.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
-        if len(own := found.setdefault(r["lang"], [])) < 2 * SAMPLE_DOCS and len(set(r["text"].split())) > 5:
+    for r in sorted(near.collect(), key=lambda r: (r["lang"], len(set(r["text"].split())) <= 5, r["place"], r["text"])):
+        if len(own := found.setdefault(r["lang"], [])) < 2 * SAMPLE_DOCS and LETTER.search(r["text"]):
             own.append(folded(r["text"]))
     return {k: b" ".join(v)[:SAMPLE_BYTES] for k, v in found.items()}
 

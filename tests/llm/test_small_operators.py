@@ -262,3 +262,17 @@ def test_language_cases(spark):
     assert language.identify_language(awkward(spark).limit(0), parser).count() == 0
     nothing = language.fitted_parser(df.limit(0))
     assert {r["lang_pred"] for r in language.identify_language(df, nothing).collect()} == {"und"}
+
+
+def test_sample_of_unspaced_and_short_texts(spark):
+    rng = random.Random(9)
+    chinese = ["".join(rng.choices("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出", k=60)) for _ in range(24)]
+    short = [" ".join(rng.sample(["talo", "vesi", "metsä", "järvi", "yö"], 3)) for _ in range(24)]
+    texts = [x for t in zip([ENGLISH] * 24, chinese, short) for x in t]
+    df = documents(spark, texts, ["en", "zh", "fi"] * 24)
+    parser = language.fitted_parser(df)
+    assert parser.languages == ["en", "fi", "zh"]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify_language(df, parser).collect()}
+    assert all(found[i] == ["en", "zh", "fi"][i % 3] for i in found)
+    labelled = df.where("lang = 'en'").union(documents(spark, ["1 2 3 4 5 6 7"], ["xx"]))
+    assert language.labelled_sample(labelled).get("xx", b"") == b""
