@@ -4,15 +4,20 @@ All shingles have one global order. Two texts that share enough of their
 shingles share one of each text's first ones, its prefix of about a fifth, so
 every pair meets on a prefix shingle. The order puts shingles that are frequent
 in a sample last, and is otherwise that of the hashes; the sample changes how
-many pairs meet by chance, never which pairs are found.
+many pairs meet by chance and where they are dealt, never which pairs are found.
 
-A meeting place is not paired out at once. Its texts first meet its least text,
-then one more, which joins most of a group of near copies; then only texts of
-it that are still in different groups meet each other. The groups are those of all pairs.
+The texts at a meeting place first meet one of them, the one that has the place
+earliest in its own order. What was edited is rare and so comes first, which
+makes that one the least edited, and it joins most of a group of near copies.
+Then only texts of one place that are still in different groups meet each other,
+if their sizes and what they have left can make a near copy. The groups are
+those of all pairs. Places of frequent shingles are summed up before they are
+dealt out and join by broadcast (at most KEPT of them); the rest have few texts.
 
 Defined cases: null, empty and blank texts have no shingle and meet nothing; a
 text of fewer words than a shingle has one shingle, its whole sequence; texts
-that differ only in case and white space have equal shingles.
+that differ only in case and white space have equal shingles. Sets of shingles go
+by a 64-bit hash of theirs, shingles by their XXH64.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docmill.llm.columns import sliced, utf8_values
 from docmill.llm.components import connected_components
@@ -34,9 +40,10 @@ SEED = 42
 HASHES_AT_ONCE = 1 << 16
 #: Percent of the shingles of two texts, taken together, that near copies share.
 SIMILAR = 80
-#: One text of so many is in the sample; shingles that so many of its texts hold are frequent; so many are kept.
-SAMPLE, FREQUENT, KEPT = 16, 4, 100_000
-
+#: One text of so many is in the sample; shingles that so many of its texts hold are frequent; so many of them are kept.
+SAMPLE, FREQUENT, KEPT = 16, 4, 1 << 19
+#: Pairs of one text that are checked in one place.
+PARTNERS = 1024
 
 def digests(text: bytes, n: int) -> Iterator[bytes]:
     """The joined 8-byte hashes of a UTF-8 text's shingles, in parts; none without words."""
@@ -58,16 +65,22 @@ def distinct(parts: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64))
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """Those of the distinct rising hashes of which a near copy has at least one in its own prefix."""
+def set_digest(hashes: np.ndarray) -> int:
+    """A signed hash of a set of rising hashes."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the distinct rising hashes of which a near copy has at least one in its own prefix: the rare, then the frequent ones."""
     size = len(hashes)
-    if not size:
-        return hashes
-    length = size - -(-size * similar // 100) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[:length]
+    length = size - -(-size * similar // 100) + 1 if size else 0
+    if not size or not len(frequent):
+        return hashes[:length], hashes[:0]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    known = frequent[at] == hashes
+    common = hashes[known][np.argsort(counts[at[known]], kind="stable")]
+    rare = hashes[~known]
+    return rare[:length], common[: max(0, length - len(rare))]
 
 
 def arrays(values: list[np.ndarray]) -> pa.Array:
@@ -93,98 +106,88 @@ def frequent_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def full_sets(texts: DataFrame, n: int) -> DataFrame:
-    """tx and tokens, the hashes of all shingles, of texts (tx, text)."""
+    """sd and tokens, the hashes of all shingles, of texts (sd, text)."""
 
     def run(batches):
         for part in sliced(batches):
             found = [distinct(list(digests(x, n))) for x in utf8_values(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), arrays(found)], names=["tx", "tokens"])
-
-    return texts.select("tx", "text").mapInArrow(run, "tx bigint, tokens array<bigint>")
-
-
-def may_be_alike(x: str, y: str, similar: int = SIMILAR) -> Column:
-    """Whether two texts that share no shingle before this one can share enough; true at the first shingle that near copies share."""
-    rest = F.least(f"{x}.rest", f"{y}.rest")
-    return rest * (100 + similar) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * similar
-
-
-def with_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """pairs with the array column of both texts, from values (tx, column), as x and y."""
-    leads = values.join(broadcast_if_small(pairs.select(F.col("tx_a").alias("tx")).distinct(), 16), "tx", "left_semi")
-    leads = leads.select(F.col("tx").alias("tx_a"), F.col(column).alias("x"))
-    both = pairs.join(values.select(F.col("tx").alias("tx_b"), F.col(column).alias("y")), "tx_b")
-    return both.join(broadcast_if_small(leads, 40, more=8 * F.size("x")), "tx_a")
-
-
-def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, n: int, scratch: Scratch, name: str, similar: int = SIMILAR) -> DataFrame:
-    """Those of the distinct pairs (tx_a, tx_b, a, b, sizes) whose texts are near copies, as edges (a, b).
-
-    Beyond the prefix that ends first, a pair shares at most what its text has left.
-    """
-    pairs = scratch.table(pairs, f"{name}-met")
-    wanted = pairs.select(F.col("tx_a").alias("tx")).union(pairs.select("tx_b")).distinct()
-    starts = rows.join(broadcast_if_small(scratch.table(wanted, f"{name}-texts"), 16), "tx", "left_semi").dropDuplicates(["tx"])
-    starts = scratch.table(starts.select("tx", "size", "prefix"), f"{name}-prefixes")
-    left = F.greatest(F.col("size_a") - F.size("x"), F.col("size_b") - F.size("y"))
-    may = (F.size(F.array_intersect("x", "y")) + left) * (100 + similar) >= (F.col("size_a") + F.col("size_b")) * similar
-    near = scratch.table(with_sides(pairs, starts, "prefix").where(may).select("tx_a", "tx_b", "a", "b"), f"{name}-pairs")
-    wanted = scratch.table(near.select(F.col("tx_a").alias("tx")).union(near.select("tx_b")).distinct(), f"{name}-wanted")
-    own = texts.join(broadcast_if_small(wanted, 16), "tx", "left_semi").groupBy("tx").agg(F.first("text").alias("text"))
-    sets = scratch.table(full_sets(own, n), f"{name}-sets")
+            yield pa.RecordBatch.from_arrays([part.column(0), arrays(found)], names=["sd", "tokens"])
+
+    return texts.select("sd", "text").mapInArrow(run, "sd bigint, tokens array<bigint>")
+
+
+def may_be_alike(x: Column, y: Column, similar: int = SIMILAR) -> Column:
+    """Whether two texts (size, at) whose first common shingle is the one at these places can share enough."""
+    rest = F.least(x["size"] - x["at"], y["size"] - y["at"])
+    return rest * (100 + similar) >= (x["size"] + y["size"]) * similar
+
+
+def met_places(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """token, sd, size, at and the place's lead (at, sd, size), for prefix shingles that several sets have."""
+    rare = sets.select(F.posexplode("rare").alias("at", "token"), "sd", "size")
+    here = Window.partitionBy("token").orderBy("at", "sd")
+    first = F.first(F.struct("at", "sd", "size")).over(here)
+    rare = rare.withColumn("lead", first).withColumn("next", F.lead("sd").over(here)).where((F.col("sd") != F.col("lead.sd")) | F.col("next").isNotNull())
+    common = sets.select(F.posexplode("common").alias("nth", "token"), "sd", "size", F.size("rare").alias("before"))
+    common = common.select((F.col("nth") + F.col("before")).alias("at"), "token", "sd", "size")
+    leads = common.groupBy("token").agg(F.min(F.struct("at", "sd", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("token", "lead")
+    common = common.join(F.broadcast(scratch.table(leads, "leads")), "token")  # KEPT rows at most
+    columns = ["token", "sd", "size", "at", "lead"]
+    return scratch.table(rare.select(*columns).unionByName(common.select(*columns)), "places")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, scratch: Scratch, name: str, similar: int = SIMILAR) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are near copies."""
+    pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
+    wanted = pairs.select(F.col("a").alias("sd")).union(pairs.select("b")).distinct().join(sets.select("sd", "least.doc_id", "least.tx"), "sd")
+    wanted = scratch.table(wanted.withColumnRenamed("doc_id", "id"), f"{name}-wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t.tx") == F.col("w.tx"))
+    own = texts.alias("t").join(broadcast_if_small(wanted, 40).alias("w"), same).select("sd", "text")
+    tokens = scratch.table(full_sets(own, n), f"{name}-sets")
+    # a text with very many partners is dealt to several places
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
+    hot = scratch.table(shares.where("shares > 1"), f"{name}-hot")
+    hot = broadcast_if_small(hot, 24)
+    right = pairs.join(tokens.select(F.col("sd").alias("b"), F.col("tokens").alias("y")), "b").join(hot, "a", "left")
+    right = right.withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    left = tokens.select(F.col("sd").alias("a"), F.col("tokens").alias("x")).join(hot, "a", "left")
+    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
     enough = F.size(F.array_intersect("x", "y")) * (100 + similar) >= (F.size("x") + F.size("y")) * similar
-    found = scratch.table(with_sides(near, sets, "tokens").where(enough).select("a", "b").distinct(), f"{name}-found")
-    for part in ("met", "texts", "prefixes", "pairs", "wanted", "sets"):
+    found = scratch.table(right.join(left, ["a", "share"]).where(enough).select("a", "b"), f"{name}-found")
+    for part in ("pairs", "wanted", "sets", "hot"):
         scratch.drop(f"{name}-{part}")
     return found
 
 
-def pair_of(x: str, y: str) -> list[Column]:
-    return [F.col(f"{s}.{c}").alias(to) for c, names in (("tx", ("tx_a", "tx_b")), ("node", ("a", "b")), ("size", ("size_a", "size_b"))) for s, to in zip((x, y), names)]
-
-
-def apart(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """Those of met, with their component, whose meeting place has texts of several groups."""
-    own = met.drop("lead").join(broadcast_if_small(groups, 24), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def still_apart(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of met, with their component, whose place has sets of several components."""
+    own = met.join(groups.select(F.col("node").alias("sd"), "component"), "sd", "left").withColumn("component", F.coalesce("component", "sd"))
     several = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     return own.join(broadcast_if_small(several, 16), "token", "left_semi")
 
 
-def linked_near_copies(rows: DataFrame, texts: DataFrame, edges: DataFrame, n: int, scratch: Scratch, similar: int = SIMILAR) -> DataFrame:
-    """node and component of edges (a, b) with those of all near copies added.
+def linked_near_copies(sets: DataFrame, texts: DataFrame, edges: DataFrame, n: int, scratch: Scratch, similar: int = SIMILAR) -> DataFrame:
+    """node and component of edges (a, b) over sets with those of all near copies added.
 
-    rows has node, tx, size and prefix of the documents, texts has tx and text;
-    tx stands for a text, and texts of one node are linked already.
+    sets has sd, size, rare, common and least (doc_id, tx), whose text stands
+    for it; texts has doc_id, tx and text.
     """
-    each = rows.select("node", "tx", "size", F.posexplode("prefix").alias("at", "token"))
-    each = each.select("token", "tx", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
-    shared = each.groupBy("token").agg(F.min("tx").alias("lead"), F.max("tx").alias("last")).where("lead < last").select("token", "lead")
-    shared = scratch.table(shared, "shared")
-    met = scratch.table(each.join(broadcast_if_small(shared, 24), "token").dropDuplicates(["token", "tx"]), "met")
-    leads = met.where("tx = lead").select("token", "tx", "node", "size", "rest")
-    stars = met.alias("y").join(broadcast_if_small(leads, 48).alias("x"), "token").where(F.col("x.node") != F.col("y.node"))
-    stars = stars.where(may_be_alike("x", "y", similar))
-    stars = stars.select(*pair_of("x", "y")).distinct()
-    stars = scratch.table(stars, "stars")
-    edges = scratch.table(edges.unionByName(alike(stars, rows, texts, n, scratch, "star", similar)), "edges")
-    groups = scratch.table(connected_components(edges, scratch, "components-0"), "groups-0")
-    met_apart = apart(met, groups)
-    # another text of each place, of another group
-    others = met_apart.groupBy("token").agg(F.max("tx").alias("lead"))
-    leads = met_apart.join(broadcast_if_small(others, 24), "token").where("tx = lead")
-    second = met_apart.alias("y").join(broadcast_if_small(leads, 56).alias("x"), "token")
-    second = second.where((F.col("x.component") != F.col("y.component")) & may_be_alike("x", "y", similar))
-    linked = alike(second.select(*pair_of("x", "y")).distinct(), rows, texts, n, scratch, "second", similar)
-    edges = scratch.table(edges.unionByName(linked), "edges-1")
-    groups = scratch.table(connected_components(edges, scratch, "components-1"), "groups-1")
-    met_apart = scratch.table(apart(met, groups), "apart")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.tx") < F.col("y.tx")) & (F.col("x.component") != F.col("y.component"))
-    pairs = met_apart.alias("x").join(met_apart.alias("y"), meet & may_be_alike("x", "y", similar))
-    pairs = pairs.select(*pair_of("x", "y")).distinct()
-    pairs = pairs.join(stars.select("tx_a", "tx_b"), ["tx_a", "tx_b"], "left_anti")
-    more = alike(pairs, rows, texts, n, scratch, "rest", similar)
-    for name in ("met", "apart", "stars", "shared"):
+    met = met_places(sets, scratch)
+    stars = met.where((F.col("sd") != F.col("lead.sd")) & may_be_alike(F.struct("size", "at"), F.col("lead"), similar))
+    stars = alike(stars.select(F.col("lead.sd").alias("a"), F.col("sd").alias("b")), sets, texts, n, scratch, "star", similar)
+    edges = scratch.table(edges.unionByName(stars), "edges")
+    groups = scratch.table(connected_components(edges, scratch, "components-0"), "groups")
+    met = scratch.table(still_apart(met, groups), "apart")
+    # sizes of near copies are within a quarter, so they lie in one of two neighbouring steps of a little more
+    step = F.floor(F.log("size") / F.log(F.lit(100 / similar * 1.000001))).cast("int")
+    low, high = met.withColumn("step", F.explode(F.array(step, step + 1))).alias("x"), met.withColumn("step", step).alias("y")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.component") != F.col("y.component"))
+    meet = meet & (F.struct("x.size", "x.sd") < F.struct("y.size", "y.sd")) & (F.col("x.sd") != F.col("y.lead.sd")) & (F.col("y.sd") != F.col("x.lead.sd"))
+    pairs = low.join(high, meet & may_be_alike(F.struct("x.size", "x.at"), F.struct("y.size", "y.at"), similar))
+    more = alike(pairs.select(F.col("x.sd").alias("a"), F.col("y.sd").alias("b")), sets, texts, n, scratch, "rest", similar)
+    for name in ("places", "leads", "apart"):
         scratch.drop(name)
     if not more.limit(1).count():
         return groups
-    return connected_components(edges.unionByName(more), scratch, "components-2")
+    hung = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+    return connected_components(hung.unionByName(more), scratch, "components-1")

@@ -7,11 +7,13 @@ so on. Pairs meet on that chain's first two segments (the second as four
 blocks, of which three must agree), pass the budgets of the longer chains, and
 last the full Hamming distance.
 
-A meeting place with many fingerprints, as a large group of near copies makes,
-is not paired out. Its fingerprints go by their neighbours instead: two are
-within four bits if and only if some 64-bit value lies within two bits of both,
-so each emits the values around it and those that share a value are linked to
-the least one. That is exact and linear in the number of fingerprints.
+A meeting place with many fingerprints is not paired out but split by the
+chain's third segment: at most two of its five blocks may differ, so three of
+them must agree. A place that is crowded even then, as a large group of near
+copies makes, goes by neighbours: two fingerprints are within four bits if and
+only if some 64-bit value lies within two bits of both, so each emits the values
+around it and those that share a value are linked to the least one. All ways
+are exact, and the last is linear in the number of fingerprints.
 
 Defined cases: a null, empty or blank text has no shingle and fingerprint zero,
 which links like any other; a text of fewer words than a shingle has one
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.columns import map_texts, sliced, utf8_values
 from docmill.llm.components import connected_components
-from docmill.llm.near_copies import arrays, digests, distinct, frequent_shingles, linked_near_copies, prefix
+from docmill.llm.near_copies import arrays, digests, distinct, frequent_shingles, linked_near_copies, prefix, set_digest
 from docmill.session import Scratch, broadcast_if_small
 
 SHINGLE = 4
@@ -43,7 +45,9 @@ DISTANCE = 4
 #: Bits of the ring's segments, and of the four blocks of each.
 SEGMENTS = (13, 13, 13, 13, 12)
 BLOCKS = {13: (4, 3, 3, 3), 12: (3, 3, 3, 3)}
-#: Fingerprints at one meeting place that are paired; more go by their neighbours.
+#: Bits of the five blocks of a chain's third segment, where crowded places are split.
+THIRD_BLOCKS = {13: (3, 3, 3, 2, 2), 12: (3, 3, 2, 2, 2)}
+#: Fingerprints at one meeting place that are paired; more are split, then go by their neighbours.
 PAIRED = 64
 
 
@@ -108,25 +112,55 @@ def chain_masks() -> list[list[tuple[int, int]]]:
     ]
 
 
+def splitting_masks() -> list[list[int]]:
+    """By first segment: bits of the chain's third segment that a crowded place is split by; three of five blocks, as two bits may differ."""
+    lows, m = segment_starts(), len(SEGMENTS)
+    out = []
+    for i in range(m):
+        k = (i + 2) % m
+        at, parts = lows[k], []
+        for width in THIRD_BLOCKS[SEGMENTS[k]]:
+            parts.append(mask(at, width))
+            at += width
+        out.append([sum(kept) for kept in combinations(parts, len(parts) - 2)])
+    return out
+
+
 def neighbour_masks() -> list[int]:
     """All 64-bit values of at most half DISTANCE bits."""
     return [sum(1 << b for b in bits) for n in range(DISTANCE // 2 + 1) for bits in combinations(range(64), n)]
 
 
+def met_at(rows: DataFrame, place: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """rows whose place others share, with n, the fingerprints there."""
+    counts = rows.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.table(rows.join(counts, place), name)
+
+
+def pairs_at(rows: DataFrame, place: list[str], places: list[tuple[int, int]]) -> DataFrame:
+    """Edges (a, b) of the fingerprints at each place that pass the longer chains and the full distance."""
+    x, y = rows.alias("x"), rows.alias("y")
+    together = F.col("x.fp") < F.col("y.fp")
+    for c in place:
+        together = together & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    pairs = x.join(y, together & within_ring(F.col("x.kind"), differ, places) & (F.bit_count(differ) <= DISTANCE))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def links(distinct: DataFrame, scratch: Scratch, paired: int = PAIRED) -> DataFrame:
     """Edges (a, b) over the nodes of distinct (fp, node) whose components are those of all pairs within DISTANCE."""
     places = meeting_masks()
     keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for k, (_, m) in enumerate(places)))
-    met = distinct.select("fp", "node", F.inline(keys))
-    counts = met.groupBy("kind", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.table(met.join(counts, ["kind", "bits"]), "met")
-    few = met.where(F.col("n") <= paired)
-    first, second = few.alias("x"), few.alias("y")
-    together = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.fp") < F.col("y.fp"))
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    pairs = first.join(second, together & within_ring(F.col("x.kind"), differ, places) & (F.bit_count(differ) <= DISTANCE))
-    edges = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    many = met.where(F.col("n") > paired).select("fp", "node").distinct()
+    met = met_at(distinct.select("fp", "node", F.inline(keys)), ["kind", "bits"], scratch, "met")
+    edges = pairs_at(met.where(F.col("n") <= paired), ["kind", "bits"], places)
+    splits = splitting_masks()
+    by_kind = F.array(*(F.array(*(F.lit(signed(m)) for m in splits[i])) for i, _ in places))
+    crowded = met.where(F.col("n") > paired).select("fp", "node", "kind", "bits", F.posexplode(F.get(by_kind, F.col("kind"))).alias("split", "mask"))
+    crowded = crowded.select("fp", "node", "kind", "split", F.col("bits").bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("bits"))
+    crowded = met_at(crowded, ["kind", "split", "bits"], scratch, "crowded")
+    edges = edges.unionByName(pairs_at(crowded.where(F.col("n") <= paired), ["kind", "split", "bits"], places))
+    many = crowded.where(F.col("n") > paired).select("fp", "node").distinct()
     around = many.select("node", F.explode(F.transform(F.array(*(F.lit(signed(m)) for m in neighbour_masks())), lambda m: m.bitwiseXOR(F.col("fp")))).alias("near"))
     least = around.groupBy("near").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
     return edges.unionByName(least.select("a", F.explode("all").alias("b"))).distinct()
@@ -164,34 +198,44 @@ def near_duplicate_groups(
 def first_of_groups(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each group, with all its columns; groups join SimHash links and near copies by Jaccard similarity.
 
-    It is the row with the smallest id, nulls last, then of the least text hash.
+    It is the row with the smallest id, nulls last, then of the least text hash;
+    of rows that are equal in id and text any one.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tx"))
-    frequent, counts = frequent_shingles(texts, n)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             parts = [list(digests(x, n)) for x in utf8_values(part.column(1))]
             found = np.array([folded(p) for p in parts], np.uint64).view(np.int64)
             sets = [distinct(p) for p in parts]
-            sizes = pa.array([len(x) for x in sets], pa.int64())
-            prefixes = arrays([prefix(x, *shared.value) for x in sets])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found), sizes, prefixes], names=["doc_id", "tx", "node", "size", "prefix"])
+            names = pa.array([set_digest(x) for x in sets], pa.int64())
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            prefixes = [prefix(x, *shared.value) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(found), names, sizes, *(arrays(list(x)) for x in zip(*prefixes))],
+                names=["doc_id", "tx", "fp", "sd", "size", "rare", "common"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.table(texts.mapInArrow(run, f"doc_id {kind}, tx bigint, node bigint, size bigint, prefix array<bigint>"), "prefixes")
-    nodes = scratch.table(rows.select(F.col("node").alias("fp"), "node").distinct(), "nodes")
-    groups = linked_near_copies(rows, texts, links(nodes, scratch), n, Scratch(docs.sparkSession))
-    own = rows.join(groups, "node", "left").select(F.coalesce("component", "node").alias("component"), "doc_id", "tx")
+    schema = f"doc_id {kind}, tx bigint, fp bigint, sd bigint, size int, rare array<bigint>, common array<bigint>"
+    rows = scratch.table(texts.mapInArrow(run, schema), "prefixes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("least")
-    keep = own.groupBy("component").agg(least).select(F.col("least.doc_id").alias("kept_id"), F.col("least.tx").alias("kept_tx"))
-    keep = scratch.table(keep, "kept")
+    sets = rows.groupBy("sd").agg(*(F.first(c).alias(c) for c in ("size", "rare", "common")), least)
+    sets = scratch.table(sets, "sets")
+    # a set of shingles is a node; one fingerprint's sets hang on the least of them
+    prints = rows.select("fp", "sd").distinct()
+    prints = scratch.table(prints.join(prints.groupBy("fp").agg(F.min("sd").alias("node")), "fp"), "prints")
+    own = prints.where("sd <> node").select(F.col("sd").alias("a"), F.col("node").alias("b"))
+    edges = links(prints.select("fp", "node").distinct(), scratch).unionByName(own)
+    groups = linked_near_copies(sets, texts, edges, n, scratch)
+    grouped = sets.select("sd", "least").join(groups.select(F.col("node").alias("sd"), "component"), "sd", "left")
+    keep = grouped.groupBy(F.coalesce("component", "sd").alias("component")).agg(F.min("least").alias("least"))
+    keep = scratch.table(keep.select(F.col("least.doc_id").alias("kept_id"), F.col("least.tx").alias("kept_tx")), "kept")
     same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("kept_id")) & (F.xxhash64(f"d.`{text_col}`") == F.col("kept_tx"))
     kept = docs.alias("d").join(broadcast_if_small(keep, 32), same, "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
-    repeated = own.join(broadcast_if_small(keep, 32), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tx") == F.col("kept_tx")), "left_semi")
-    repeated = repeated.groupBy("doc_id", "tx").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = rows.groupBy("doc_id", "tx").agg(F.count("*").alias("rows")).where("rows > 1")
     return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept
 
 
