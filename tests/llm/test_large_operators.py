@@ -402,12 +402,12 @@ def test_repeat_cases(spark):
 @has_tables
 def test_pipeline(spark):
     import corpus_pipeline
-    from docmill.llm import language, pseudonyms
+    from docmill.llm import pseudonyms
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "pseudonyms", "mixing"]
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = texts_of(spark)
-    seen = {i for i, t in texts.items() if t and language.LETTER.search(t)}
+    seen = {i for i, t in texts.items() if any(map(str.isalpha, t or ''))}
     groups = slow_near_copies({i: texts[i] for i in sorted(seen)})
     kept = {i for i in seen if groups[i] == i}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}

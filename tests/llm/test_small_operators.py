@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -231,16 +234,45 @@ def parses(sample: bytes, text: bytes) -> int:
 
 
 def test_phrase_counts():
-    import numpy as np
-
     rng = random.Random(2)
-    for _ in range(60):
+    for case in range(60):
         samples = {k: bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40))) for k in "xy"}
         parser = language.build_parser(samples)
-        text = bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 50)))
-        counts = parser.phrases(parser.symbols[np.frombuffer(text, np.uint8)][:, None], np.array([len(text)]))[0]
-        for k, name in enumerate(parser.languages):
-            assert counts[k] == parses(samples[name], text)
+        texts = [bytes(rng.choice(b"abcd" if case % 3 else b"a") for _ in range(rng.choice([0, 1, 50, 512, 513, 1500]))) for _ in range(4)]
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        counts = parser.phrases(raw, np.cumsum(sizes) - sizes, sizes)
+        for row, text in zip(counts, texts):
+            assert row.tolist() == [parses(samples[name], text) for name in parser.languages]
+
+
+def slow_prediction(sample: dict[str, bytes], text: str | None) -> str:
+    """The language of fewest normalised phrases of the whole text."""
+    if not any(c.isalpha() for c in text or ""):
+        return language.UNKNOWN
+    kept = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text.lower())
+    own = re.sub(" +", " ", kept).encode()
+    return min(sorted(sample), key=lambda k: parses(sample[k], own) * math.log2(len(sample[k]) + 1) / len(own))
+
+
+def test_predictions_of_whole_texts(spark):
+    """Languages with combining marks, and texts of several pieces, against the plain parser."""
+    rng = random.Random(12)
+    words = {"hi": ["हिन्दी", "में", "किताब", "पढ़ना", "अच्छा", "है", "और", "नदी"], "mr": ["मराठी", "भाषेत", "पुस्तक", "वाचणे", "चांगले", "आहे", "आणि", "नदी"], "en": ENGLISH.split(), "de": GERMAN.split()}
+    texts, langs = [], []
+    for i in range(80):
+        lang = list(words)[i % 4]
+        texts.append(" ".join(rng.choices(words[lang], k=rng.choice([3, 30, 400]))) + rng.choice(["", " 123!", "aaaa" * 300]))
+        langs.append(lang)
+    df = documents(spark, [*texts, None, "", "2²", "x" * 3000], [*langs, None, "en", "de", None])
+    sample = language.labelled_sample(df.where(~language.held_out()))
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify_language(df, language.build_parser(sample)).collect()}
+    assert found == {r["doc_id"]: slow_prediction(sample, r["text"]) for r in df.collect()}
+    assert all(len(x) <= language.SAMPLE_BYTES for x in sample.values())
+    long = documents(spark, [ENGLISH, "sana " * 9000, "sana " * 7000], ["en", "fi", "fi"])
+    assert len(language.labelled_sample(long)["fi"]) == 35000  # the shortest row, where none fits
+    copies = documents(spark, [ENGLISH] * 300)
+    assert language.labelled_sample(copies.withColumn("doc_id", F.lit(1)))["en"] == ENGLISH.encode()
 
 
 @has_tables
