@@ -3,21 +3,29 @@
 Validated numbers and dates, with mail addresses and secrets, are replaced by a
 keyed permutation of their own format: a Feistel network over the numbers below
 the format's size, walked until the image lies inside. Equal values get equal
-pseudonyms in every document, distinct values of one format stay distinct, and
-the key's holder can invert them.
+pseudonyms in every document, however a card, a phone number or a date is
+written; distinct values of one format stay distinct, and the key's holder can
+invert them. A card keeps its network's digits, a phone number its country's.
+
+The key comes from the caller, else from the session's
+spark.docmill.pseudonym.secret; a session that names none gets a random key,
+which all its calls share and which is set there.
 
 Defined cases: a null text stays null; text without a match is returned byte
-for byte; candidates that fail validation (Luhn, octets, calendar) stay,
-unless a phone number or a card of fewer digits stands at their place, and the
-search goes on one token later; digits beside a card may make its pseudonym pass
-as a longer card (one in ten), and then inversion isn't exact;
-repeated rows get equal results; an empty table gives an empty result; other
-columns pass through pseudonymised() untouched.
+for byte; candidates that fail validation (network, length and Luhn digit,
+octets, calendar) stay, unless a phone number or a card of fewer digits stands at
+their place, and the search goes on one token later; digits beside a card may
+make its pseudonym pass as a longer card (one in ten), and then inversion isn't
+exact; very long texts take linear time, and a long secret is permuted in groups
+of GROUP characters; repeated rows get equal results; an empty table gives an
+empty result; other columns pass through pseudonymised() untouched, but for those
+named like the counts it adds, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 from collections import Counter
 from datetime import date
 from hashlib import blake2b
@@ -27,7 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = b"docmill pseudonym key"
+#: Setting of the session that names the key.
+KEY_SETTING = "spark.docmill.pseudonym.secret"
+#: Characters that are permuted together.
+GROUP = 64
 KINDS = ("email", "card", "phone", "ip", "date", "secret")
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,7 +49,7 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal
 #: In every text that CANDIDATE matches: digits, mail addresses, named secrets, and the leads of secrets.
 HINT = re.compile(r"[\d@=:]|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA")
 PARTS = {
-    "email": r"(?P<email>[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))",
+    "email": r"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))",
     "secret": r"(?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<body>[A-Za-z0-9+/_\-]{16,})|\b(?:sk|pk|ghp|gho|xox[bp])[-_](?P<body2>[A-Za-z0-9_\-]{16,})|\bAKIA(?P<body3>[A-Z0-9]{16})\b)",
     "date": r"(?P<date>(?<![\d.\-/])(?:(?P<y>\d{4})(?P<s1>[\-/.])(?P<m>\d{2})(?P=s1)(?P<d>\d{2})|(?P<d2>\d{2})(?P<s2>[\-/.])(?P<m2>\d{2})(?P=s2)(?P<y2>\d{4}))(?![\d\-/]|\.\d))",
     "ip": r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))",
@@ -46,6 +57,19 @@ PARTS = {
     "phone": r"(?P<phone>(?<![\w])\+?1[ .\-]\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\d])|(?<![\w])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?![\d])|(?<![\w(])\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\d]))",
 }
 CANDIDATE = re.compile("|".join(PARTS.values()))
+#: Leading digits of card networks and the lengths of their numbers.
+NETWORKS = (
+    ("4", (13, 16, 19)),
+    ("5[1-5]", (16,)),
+    (r"2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)", (16,)),
+    ("3[47]", (15,)),
+    ("6011|65|64[4-9]", (16, 17, 18, 19)),
+    ("3(?:0[0-5]|6|8|9)", (14, 15, 16, 17, 18, 19)),
+    (r"35(?:2[89]|[3-8]\d)", (16, 17, 18, 19)),
+    ("62", (16, 17, 18, 19)),
+    ("5018|5020|5038|5893|6304|6759|676[123]", (13, 14, 15, 16, 17, 18, 19)),
+)
+LEADS = [(re.compile(lead), lengths) for lead, lengths in NETWORKS]
 #: What a place may hold if its candidate isn't valid: a phone number, or a card of fewer digits, the longest first.
 OTHERS = [re.compile(PARTS["phone"]), *(re.compile(PARTS["card"].replace("{12,18}", f"{{{n - 1}}}")) for n in range(19, 12, -1))]
 #: What a search leaves behind at a place where nothing is valid.
@@ -60,12 +84,11 @@ def permuted(value: int, size: int, key: bytes, tweak: bytes, back: bool = False
     mask = (1 << half) - 1
     n_bytes = (half + 7) // 8
 
+    salt = blake2b(tweak, digest_size=16).digest()
+
     def mix(i: int, right: int) -> int:
-        out, at = b"", 0
-        while len(out) < n_bytes:
-            seed = blake2b(right.to_bytes(n_bytes, "big"), digest_size=min(64, max(8, n_bytes)), key=key, person=bytes([i, at & 255]) + half.to_bytes(4, "big"), salt=blake2b(tweak, digest_size=16).digest())
-            out, at = out + seed.digest(), at + 1
-        return int.from_bytes(out[:n_bytes], "big") & mask
+        seed = blake2b(right.to_bytes(n_bytes, "big"), digest_size=max(8, n_bytes), key=key, person=bytes([i]) + half.to_bytes(4, "big"), salt=salt)
+        return int.from_bytes(seed.digest()[:n_bytes], "big") & mask
 
     while True:
         left, right = value >> half, value & mask
@@ -89,6 +112,11 @@ def permuted_characters(text: str, key: bytes, tweak: bytes, back: bool = False,
     """Digits, small and capital letters change within their class; every other character stays."""
     hexadecimals = (DIGITS + ("ABCDEF" if text.upper() == text else "abcdef"),)
     classes = hexadecimals if hexadecimal else (DIGITS, LOWER, UPPER)
+    groups = (text[i : i + GROUP] for i in range(0, len(text), GROUP))
+    return "".join(permuted_group(g, key, tweak + (b"%d|" % i if i else b""), classes, back) for i, g in enumerate(groups))
+
+
+def permuted_group(text: str, key: bytes, tweak: bytes, classes: tuple[str, ...], back: bool) -> str:
     kinds = [next((k for k in classes if c in k), "") for c in text]
     value, size = 0, 1
     for c, k in zip(text, kinds):
@@ -152,18 +180,32 @@ def replacement(m: re.Match, key: bytes, back: bool = False) -> tuple[str, str]
         return kind, new.strftime(f"%Y{s}%m{s}%d" if m.group("y") else f"%d{s}%m{s}%Y")
     digits = re.sub(r"\D", "", whole)
     if kind == "card":
-        if luhn_digit(digits[:-1]) != digits[-1]:
+        if luhn_digit(digits[:-1]) != digits[-1] or not (kept := network_digits(digits)):
             return None
-        body = permuted_digits(digits[:-1], key, b"card", back)
+        body = digits[:kept] + permuted_digits(digits[kept:-1], key, b"card" + digits[:kept].encode(), back)
         return kind, refilled(whole, body + luhn_digit(body))
     if not 7 <= len(digits) <= 15:
         return None
-    lead = re.match(r"\+\d{1,3}(?=[ .\-(])", whole)
-    kept = len(re.sub(r"\D", "", lead.group())) if lead else 0
+    kept = country_digits(whole, digits)
     return kind, refilled(whole, digits[:kept] + permuted_digits(digits[kept:], key, b"phone", back))
 
 
-def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, Counter]:
+def network_digits(digits: str) -> int:
+    """How many digits name a card's network; 0 if none has numbers like it."""
+    return max((m.end() for lead, lengths in LEADS if len(digits) in lengths and (m := lead.match(digits))), default=0)
+
+
+def country_digits(whole: str, digits: str) -> int:
+    """How many digits name a phone number's country; a number without them is a national one."""
+    if len(digits) == 11 and digits[0] == "1":
+        return 1
+    if not whole.startswith("+"):
+        return 0
+    lead = re.match(r"\+(\d{1,3})(?=[ .\-(])", whole)
+    return len(lead[1]) if lead else 1
+
+
+def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, Counter]:
     """text with its personal data replaced (or restored), and how many of each kind."""
     found: Counter = Counter()
     if not text or not HINT.search(text):
@@ -183,9 +225,20 @@ def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> tupl
     return "".join([*out, text[done:]]), found
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes = KEY, counts: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key, which is made when it is first asked for; any length, hashed to the 64 bytes that are used."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        named = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, named)
+    return blake2b(named.encode()).digest()
+
+
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes | None = None, counts: bool = False) -> DataFrame:
     """docs with text_col pseudonymised in place; counts adds n_<kind> columns for the kinds replaced."""
     extra = [f"n_{k}" for k in KINDS] if counts else []
+    key = key or session_key(docs.sparkSession)
+    docs = docs.drop(*extra)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     schema = fields + "".join(f", {x} bigint" for x in extra)
     at = docs.columns.index(text_col)

@@ -416,7 +416,7 @@ def test_pipeline(spark):
     for expected, (_, f) in zip((seen, kept, clean, clean), corpus_pipeline.STAGES[:4]):
         stage = f(spark, stage, FOLDER).cache()
         assert stage.columns == docs.columns and {r["doc_id"] for r in stage.collect()} == expected
-    assert {r["doc_id"]: r["text"] for r in stage.collect()} == {i: pseudonyms.pseudonymise(texts[i])[0] for i in clean}
+    assert {r["doc_id"]: r["text"] for r in stage.collect()} == {i: pseudonyms.pseudonymise(texts[i], pseudonyms.session_key(spark))[0] for i in clean}
     out = corpus_pipeline.run(spark, FOLDER).collect()
     sizes: Counter = Counter()
     for r in stage.collect():
