@@ -40,7 +40,7 @@ def base_places(text: str) -> list[tuple[int, str]]:
 def test_base_phrases(words):
     text = " ".join(words)
     n, base, _ = licences.build_scanner().scan(text.encode())
-    assert n == len(words) and sorted(base) == base_places(text)
+    assert n == len(words) and sorted(x[:2] for x in base) == base_places(text)
 
 
 def test_matching_statistics():
@@ -65,6 +65,94 @@ def test_licence_spans():
     assert scanner.scan(b"nothing of the kind")[2] == []
 
 
+@pytest.mark.parametrize("number", range(len(licences.TEMPLATES)))
+def test_each_licence_names_itself(number):
+    label, text = licences.TEMPLATES[number]
+    for around in (text, f"Copyright 2020 the authors. {text} The end."):
+        spans = licences.build_scanner().scan(around.encode())[2]
+        assert [s[0] for s in spans] == [label] and spans[0][3] == 1
+
+
+def test_other_versions_and_names_are_no_neighbours():
+    scan = licences.build_scanner().scan
+    for other in ("version 4", "version 1"):
+        assert scan(licences.gnu_notice(licences.GPL, "3", True).replace("version 3", other).encode())[2] == []
+    assert scan(b"Licensed under CC BY 3.0")[2] == [] and scan(b"All rights reserved")[2] == []
+    n, base, spans = scan(b"see the MIT license, or the GNU general public license")
+    assert spans == [] and [x[1:] for x in base] == [("mit", 2 / 5), ("gpl", 3 / 12)]
+
+
+def slow_segments(template: list[bytes], words: list[bytes]) -> set[tuple[int, int, int]]:
+    """Maximal common runs (text start, template start, length) of enough words."""
+    out = set()
+    for i in range(len(words)):
+        for j in range(len(template)):
+            if words[i] == template[j] and not (i and j and words[i - 1] == template[j - 1]):
+                n = 1
+                while i + n < len(words) and j + n < len(template) and words[i + n] == template[j + n]:
+                    n += 1
+                if n >= min(licences.MIN_SEGMENT, len(template)):
+                    out.add((i, j, n))
+    return out
+
+
+def slow_best(template: list[bytes], segments: set[tuple[int, int, int]]) -> int:
+    """The most template words that a chain of segments covers, by trying all chains."""
+
+    def extended(last, cover):
+        best = cover
+        for s, t, n in segments:
+            shift = max(0, last[0] + last[2] - s, last[1] + last[2] - t)
+            if last[0] < s and last[1] < t and shift < n and s - last[0] - last[2] <= licences.MAX_GAP and t - last[1] - last[2] <= licences.MAX_GAP:
+                best = max(best, extended((s, t, n), cover + n - shift))
+        return best
+
+    return max((extended(x, x[2]) for x in segments), default=0)
+
+
+def test_chains_against_brute_force(monkeypatch):
+    monkeypatch.setattr(licences, "MIN_COVERAGE", 0.5)
+    rng = random.Random(21)
+    found = 0
+    for _ in range(400):
+        templates = tuple((f"l{k}", " ".join(rng.choices("abcdef", k=rng.randint(2, 9)))) for k in range(3))
+        scanner = licences.build_scanner(templates, {})
+        words = []
+        for _ in range(3):
+            words += rng.choices("abcdefx", k=rng.randint(0, 4)) + rng.choice(templates)[1].split()[rng.randint(0, 2) :]
+        text = " ".join(words).encode()
+        spans = scanner.scan(text)[2]
+        own = [w.split() for _, w in templates]
+        chains = []
+        for k, words_k in scanner.templates:
+            segments = slow_segments(words_k, licences.words_of(text))
+            best = slow_best(words_k, segments)
+            mine = max((c[0] for c in scanner.chained(int(k[1]), sorted(segments))), default=0)
+            assert mine == (best if best >= 0.5 * len(words_k) else 0)
+            chains += [c for c in scanner.chained(int(k[1]), sorted(segments))]
+        assert spans == licences.best_apart(chains) and len(own) == 3
+        found += len(spans)
+    assert found > 200
+
+
+@has_tables
+def test_licence_query(spark):
+    rows = licences.op2_licence_scan(spark, FOLDER).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    lines = {"version 3": "gpl-3.0", "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "Released under the MIT License": "mit", "Licensed under the Apache License, Version 2.0": "apache-2.0"}
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        places = base_places(text)
+        assert r["n_words"] == len(licences.words_of(text.encode())) and r["n_base"] == len(places)
+        assert (r["first_word"], r["last_word"]) == (min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        labels = {x for _, x in places}
+        assert r["base_labels"] == ",".join(sorted(labels))
+        assert r["labels"] == ",".join(sorted(labels | {x for line, x in lines.items() if line in text}))
+        assert (r["score"] > 0) == bool(r["labels"]) and 0 <= r["score"] <= 1
+    assert any(r["n_spans"] for r in rows)
+
+
 def test_licence_query_cases(spark):
     rows = {(r["doc_id"], r["n_words"]) for r in licences.scan_licences(clashing(awkward(spark))).collect()}
     assert (1, 0) in rows and (2, 0) in rows and (5, 21) in rows
