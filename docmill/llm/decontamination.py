@@ -118,7 +118,9 @@ def contaminated(
         "candidates",
     )
     near = texts.join(broadcast_if_small(candidates, 48), "row_key")
-    known = broadcast_if_small(sketches.select("item_id", "n_shingles", "item_shingles"), 4096)
+    known = broadcast_if_small(
+        sketches.select("item_id", "n_shingles", "item_shingles"), 64, more=F.aggregate("item_shingles", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 24)
+    )
     shared = F.size(F.array_intersect(shingles(F.col("text"), n), F.col("item_shingles"))).cast("long")
     checked = near.join(known, "item_id").select("doc_id", "row_key", "item_id", "n_shingles", shared.alias("n_shared"))
     checked = scratch.table(checked, "checked")

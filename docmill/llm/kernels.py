@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: A fixed 64-bit value for every byte, and the odd multiplier of the polynomial hash with its inverse.
-BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), 77) for b in range(256)], np.uint64)
+#: The odd multiplier of the polynomial hash with its inverse.
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
@@ -20,6 +19,10 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Bytes that are hashed together.
 BLOCK = 1 << 20
+#: Bytes of a word that are hashed by XXH64 instead of eight at a time.
+LONG_WORD = 256
+#: By length up to eight: the bits of a word's bytes in a little-endian number.
+BITS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -42,16 +45,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros past the end."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    out = np.empty(len(data) + 8, np.uint64)
+    for s in range(8):
+        own = out[s::8]
+        own[:] = padded[s : s + 8 * len(own)].view("<u8")
+    return out[: len(data)]
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """p with p[j] - p[i] = MULTIPLIER**i times the hash of data[i:j]."""
+    """p with p[j] - p[i] = MULTIPLIER**i times the sum of the scrambled eights from i up to j.
+
+    A polynomial of plain bytes has clashes that hold for every multiplier (two
+    letters in Thue-Morse order and in the other); scrambled eights don't.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(MULTIPLIER, len(data)), out=out[1:])
+    np.cumsum(mixed(eights(data)) * powers(MULTIPLIER, len(data)), out=out[1:])
     return out
 
 
 def span_hashes(prefixes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans, equal for equal bytes."""
-    return mixed((prefixes[ends] - prefixes[starts]) * powers(INVERSE, len(prefixes))[starts])
+    """Hashes of spans of eight bytes or more, equal for equal bytes of equal length."""
+    return mixed((prefixes[ends - 7] - prefixes[starts]) * powers(INVERSE, len(prefixes))[starts])
 
 
 def blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -69,6 +86,25 @@ def blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def hashed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[starts:ends]: eights chained by a bijective scrambling; XXH64 for very long ones."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    lengths = ends - starts
+    out = mixed(lengths.astype(np.uint64) * np.uint64(MULTIPLIER))
+    values = eights(data)
+    more = np.flatnonzero(lengths <= LONG_WORD)
+    at = 0
+    while len(more):
+        own = values[starts[more] + at] & BITS[np.minimum(lengths[more] - at, 8)]
+        out[more] = mixed(out[more] ^ own)
+        at += 8
+        more = more[lengths[more] > at]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts in order, and the number of words of each text."""
     data = np.frombuffer(b" ".join(texts), np.uint8)
@@ -78,7 +114,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         part = data[at:end]
         edges = np.diff(IS_SPACE[part].view(np.int8), prepend=1, append=1)
         starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        hashes.append(span_hashes(prefix_hashes(LOWERED[part]), starts, ends))
+        hashes.append(hashed_words(LOWERED[part], starts, ends))
         counts += np.bincount(np.searchsorted(bounds, starts + at, "right"), minlength=len(texts))
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), counts
 

@@ -90,12 +90,14 @@ def weighted_fair_mix(
     weights: tuple[int, ...] = WEIGHTS,
     rounds: int = ROUNDS,
     seed: str = "mix",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row a document and round: doc_id, text_hash, source, size, source_size, target, round, taken, position.
+    """One row a document and round: doc_id, text_hash, row, source, size, source_size, target, round, taken, position.
 
     position is where the row starts in the mix, in words. A document that the
     mix doesn't take has one row with taken 0; rows that are taken in part end
-    their source's share. part and place tell repeated documents apart.
+    their source's share. row is row_col, null without one; queue_part and
+    queue_place tell repeated documents apart as well.
     """
     scratch = Scratch(docs.sparkSession)
     sized = scratch.table(
@@ -104,12 +106,13 @@ def weighted_fair_mix(
             F.col(source_col).alias("source"),
             n_words(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(text_col)).alias("text_hash"),
+            (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
             F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("shuffled"),
         ),
         "sized",
     )
     targets = scratch.table(source_targets(sized, weights, rounds), "targets")
-    queue = [F.col("source").asc_nulls_last(), F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("text_hash")]
+    queue = [F.col("source").asc_nulls_last(), F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("text_hash"), F.col("row")]
     queued = running_total(sized, queue, "size", scratch, "queued").alias("q")
     known = broadcast_if_small(targets, 200).alias("t")
     joined = queued.join(known, F.col("q.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
@@ -129,16 +132,16 @@ def weighted_fair_mix(
         )
     )
     rows = joined.select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "budget", "shuffled",
+        "doc_id", "text_hash", "row", "source", "size", "source_size", "target", "budget", "shuffled",
         F.col("part").alias("queue_part"), F.col("place").alias("queue_place"),
         F.inline(F.filter(turns, lambda t: (t["served"] > 0) | (t["round"] == 0))),
     )
     rows = scratch.table(rows, "turns")
-    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("round"), F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("text_hash")]
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("round"), F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("text_hash"), F.col("row")]
     mixed = running_total(rows, order, "served", scratch, "mixed")
     cut = F.greatest(F.lit(0).cast("long"), F.least("served", F.col("budget") - F.col("before")))
     return mixed.select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "round",
+        "doc_id", "text_hash", "row", "source", "size", "source_size", "target", "round",
         cut.alias("taken"), F.col("before").alias("position"), "queue_part", "queue_place",
     )
 
@@ -146,7 +149,7 @@ def weighted_fair_mix(
 def taken_by_document(mix: DataFrame) -> DataFrame:
     """The mix summed up, one row a document."""
     return mix.groupBy("queue_part", "queue_place").agg(
-        *(F.first(c).alias(c) for c in ("doc_id", "text_hash", "source", "size", "source_size", "target")),
+        *(F.first(c).alias(c) for c in ("doc_id", "text_hash", "row", "source", "size", "source_size", "target")),
         F.sum("taken").alias("taken"),
         F.min(F.when(F.col("taken") > 0, F.col("position"))).alias("position"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.columns import ASCII_SPACES, utf8_values
-from docmill.session import Scratch
+from docmill.session import BROADCAST_BYTES, Scratch, broadcast_if_small
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -31,6 +31,9 @@ MAX_DUP_LINE_SHARE = 0.3
 MIN_DUP_LINES = 3
 MAX_CAPITAL_SHARE = 0.6
 
+#: Hosts whose verdicts are broadcast at any size.
+LARGE = 1024
+
 #: A host is rejected when its shrunk failure rate passes this.
 MAX_HOST_RATE = 0.6
 
@@ -142,10 +145,29 @@ def quality_rules(
     max_rate: float = MAX_HOST_RATE,
 ) -> DataFrame:
     """Every document's measures, rule failures, its host's shrunk rate and the verdict in kept."""
-    rows = Scratch(docs.sparkSession).table(with_rule_failures(measured(docs, id_col, text_col, host_col)), "measured")
-    verdicts = host_verdicts(rows, max_rate)
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(with_rule_failures(measured(docs, id_col, text_col, host_col)), "measured")
+    verdicts = scratch.table(host_verdicts(rows, max_rate), "verdicts")
     kept = ~F.col("failed") & F.coalesce(F.col("host_ok"), F.lit(True))
-    return rows.join(verdicts, "host", "left").withColumn("kept", kept)
+    return with_verdicts(rows, verdicts).withColumn("kept", kept)
+
+
+def with_verdicts(rows: DataFrame, verdicts: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with the verdict on their host, null for a null host.
+
+    Verdicts that don't fit a broadcast are dealt out by host, but for those of
+    the largest hosts, LARGE at most, each with more than that share of all rows;
+    these are broadcast, and their rows and those without a host stay in place.
+    """
+    known = broadcast_if_small(verdicts, 80, limit, more=F.octet_length(F.col("host").cast("string")))
+    total = verdicts.agg(F.sum("host_docs")).first()[0] or 0
+    if known is not verdicts:
+        return rows.join(known, "host", "left")
+    large = verdicts.where(F.col("host_docs") * LARGE > total)
+    placed = rows.join(F.broadcast(large), "host", "left")
+    here = F.col("host_docs").isNotNull() | F.col("host").isNull()
+    dealt = placed.where(~here).select(*rows.columns).join(verdicts.hint("shuffle_hash"), "host", "left")
+    return placed.where(here).unionByName(dealt)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ document of smaller id, or earlier in the same one) is removed.
 
 Covered places go back to their documents. Matches never cross documents.
 
+Contexts count as equal if the hash of their anchor and their own hash agree,
+128 bits in all that aren't linear in the bytes; all else is compared.
+
 Defined cases: a null or empty text has no bytes and nothing removed; rows that
 repeat an id are ordered by a hash of their text, and rows equal in both count as one
 place; a null id comes after all others; an empty table gives an empty result;
@@ -172,13 +175,14 @@ def local_entries(rows: DataFrame, ranges: int, length: int, k: int) -> DataFram
         over = kept[nth > HOT_LOCAL]
         out.append((-2, [packed(e[n][over]) for n in ("id", "tie", "start", "end")] + [None] * 2))
         kept = kept[nth <= HOT_LOCAL]
-        cuts = np.searchsorted(e["anchor"][kept] >> np.uint64(64 - 20), np.arange(ranges + 1, dtype=np.uint64) * np.uint64((1 << 20) // ranges))
-        for r in range(ranges):
-            some = kept[cuts[r] : cuts[r + 1]]
-            if len(some):
-                out.append((r, [packed(e[n][some]) for n in ("id", "tie", "start", "end")] + [packed(e["anchor"][some], rising=True), packed(e["context"][some])]))
+        # ranges is a power of two, and an anchor's first bits name its range; only ranges with anchors get a row
+        dealt = e["anchor"][kept] >> np.uint64(65 - ranges.bit_length()) if ranges > 1 else np.zeros(len(kept), np.uint64)
+        cuts = np.append(np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])), len(kept)) if len(kept) else np.zeros(1, np.int64)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            some = kept[a:b]
+            out.append((int(dealt[a]), [packed(e[n][some]) for n in ("id", "tie", "start", "end")] + [packed(e["anchor"][some], rising=True), packed(e["context"][some])]))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _ in out], pa.int32()), *(pa.array([x[i] for _, x in out], pa.binary()) for i in range(6))],
+            [pa.array([r for r, _ in out], pa.int64()), *(pa.array([x[i] for _, x in out], pa.binary()) for i in range(6))],
             names=["range", "id", "tie", "start", "end", "anchor", "context"],
         )
 
@@ -196,7 +200,7 @@ def local_entries(rows: DataFrame, ranges: int, length: int, k: int) -> DataFram
         held = []
         give_back()
 
-    return rows.mapInArrow(run, "range int, id binary, tie binary, start binary, end binary, anchor binary, context binary")
+    return rows.mapInArrow(run, "range bigint, id binary, tie binary, start binary, end binary, anchor binary, context binary")
 
 
 def settled(packed_rows: DataFrame) -> DataFrame:
@@ -411,7 +415,7 @@ def remove_repeats(
         rows = rows.withColumn("tie", F.lit(0).cast("long"))
     rows = rows.select("id", "tie", "text", "doc_id")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = min(1 << 20, 1 << max(0, (size // RANGE_TEXT).bit_length()))
+    ranges = 1 << (size // RANGE_TEXT).bit_length()
     sent = scratch.table(local_entries(rows.select("id", "tie", "text"), ranges, length, k), "entries")
     found = scratch.table(settled(sent).unionByName(met_contexts(sent)), "found")
     open_spans = scratch.table(by_document(found.where(F.col("code") != COVERED)), "open")

@@ -7,7 +7,8 @@ white space; it is matched with `lead` before it, as vocabularies mark word
 starts.
 
 Defined cases: a null or empty text has no words and no tokens; a word that the
-vocabulary can't spell counts as one token; repeated rows get equal results; an
+vocabulary can't spell counts as one token; very long words are counted but not
+remembered; repeated rows get equal results; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,8 +26,9 @@ from docmill.llm.columns import id_type, map_texts, utf8_values
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-#: Words whose counts a task remembers; beyond that it starts afresh.
+#: Words whose counts a task remembers, and bytes of such a word; beyond that it starts afresh.
 REMEMBERED = 1 << 17
+SHORT = 64
 
 
 @dataclass
@@ -112,7 +114,9 @@ def count_tokens(
             total = longest = 0
             for w in words:
                 if (n := known.get(w)) is None:
-                    n = known[w] = count(w)
+                    n = count(w)
+                    if len(w) <= SHORT:
+                        known[w] = n
                 total += n
                 if n > longest:
                     longest = n

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import decontamination, language_model, mixing, registry, repeats, simhash
 from docmill.llm.components import connected_components
-from docmill.llm.kernels import packed, unpacked, word_hashes
+from docmill.llm.kernels import packed, prefix_hashes, span_hashes, unpacked, word_hashes
 from docmill.session import Scratch
 from tests.compare import connection, duck_rows, spark_rows
 from tests.llm.helpers import DOCUMENTS, ENGLISH, awkward, clashing, documents
@@ -56,6 +56,18 @@ def test_word_hashes():
     assert len({(w, int(h)) for w, h in zip(words, hashes)}) == len(set(words)) == len({int(h) for h in hashes})
 
 
+def test_hashes_are_not_linear():
+    """Words and spans of two letters in Thue-Morse order and in the other clash in every polynomial modulo 2**64."""
+    order = [bin(i).count("1") & 1 for i in range(2048)]
+    one, other = (bytes(97 + (x ^ flip) for x in order) for flip in (0, 1))
+    for n in (9, 100, 256, 1024, 2048):
+        hashes, _ = word_hashes([one[:n] + b" " + other[:n]])
+        assert len(hashes) == 2 and hashes[0] != hashes[1]
+        data = np.frombuffer(one[:n] + other[:n] + one[:n], np.uint8)
+        spans = span_hashes(prefix_hashes(data), np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+        assert spans[0] == spans[2] != spans[1]
+
+
 # --- simhash
 
 
@@ -433,4 +445,23 @@ def test_pipeline_cases(spark, tmp_path):
 
     awkward(spark).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, ENGLISH[:60])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {8, 9}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {8, 9}
+    empty = tmp_path / "empty"
+    awkward(spark).limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([(0, ENGLISH[:60])], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_mixing_stage_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f g h i j", "en", "s", 1)] * 5 + [(None, "k l m", "en", "t", 1)] * 3 + [(2, "n o p q", "en", None, 1), (2, "r s", "en", "t", 1)] + [(3, "u " * 30, "en", "u", 1)] * 2
+    out = corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()
+    sizes, taken = Counter(), Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        assert 0 < r["taken"] <= 3 * r["size"]
+    targets = slow_targets(dict(sizes))
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes) and sum(taken.values()) == sum(sizes.values())

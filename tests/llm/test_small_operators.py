@@ -188,6 +188,19 @@ def test_token_query(spark):
     assert tokens.count_tokens(df.limit(0), counter).count() == 0
 
 
+@has_tables
+def test_token_query_of_the_tables(spark):
+    vocabulary = set(tokens.read_vocabulary())
+    assert not any(b" " in x[1:] for x in vocabulary)
+    rows = {r["doc_id"]: r for r in tokens.op3_token_counts(spark, FOLDER).collect()}
+    known: dict[bytes, int] = {}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        words = (r["text"] or "").encode().split()
+        counts = [known.setdefault(w, greedy(w, vocabulary, b" ")) if w not in known else known[w] for w in words]
+        found = rows[r["doc_id"]]
+        assert (found["n_words"], found["n_tokens"], found["longest_word_tokens"]) == (len(words), sum(counts), max(counts, default=0))
+
+
 # --- quality
 
 
@@ -219,6 +232,42 @@ def test_quality_query(spark):
         assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n) and not (r["base_failed"] and r["kept"])
 
 
+def slow_verdicts(rows: list) -> dict:
+    """kept by document, from whole rates and moments."""
+    hosts: dict = {}
+    for r in rows:
+        text = r["text"] or ""
+        n, _, symbols, dup, repeat = slow_measure(text)
+        lines = sum(bool(x.encode().strip()) for x in text.split("\n"))
+        capitals, smalls = (len(re.findall(p, text)) for p in ("[A-Z]", "[a-z]"))
+        failed = n < 50 or 100 * repeat > 50 * n or symbols > 0.25 * n or (dup >= 3 and dup > 0.3 * lines) or capitals > 0.6 * (capitals + smalls)
+        hosts.setdefault(r["source"], []).append((r["doc_id"], failed))
+    rates = [sum(f for _, f in own) / len(own) for h, own in hosts.items() if h is not None]
+    mean = sum(rates) / len(rates)
+    variance = sum((x - mean) ** 2 for x in rates) / len(rates)
+    spread = variance - mean * (1 - mean) * sum(1 / len(own) for h, own in hosts.items() if h is not None) / len(rates)
+    strength = max(2.0, min(1000.0, mean * (1 - mean) / spread - 1 if spread > 0 else 1000.0))
+    out = {}
+    for host, own in hosts.items():
+        ok = host is None or (sum(f for _, f in own) + mean * strength) / (len(own) + strength) <= quality.MAX_HOST_RATE
+        out |= {d: not f and ok for d, f in own}
+    return out
+
+
+@has_tables
+@pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, 0])
+def test_verdicts(spark, monkeypatch, limit):
+    monkeypatch.setattr(quality.with_verdicts, "__defaults__", (limit,))
+    monkeypatch.setattr(quality, "LARGE", 3)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    host = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("h"), F.col("doc_id") % 21)).when(F.col("doc_id") % 11 != 0, F.col("source"))
+    docs = docs.withColumn("source", F.when((F.col("doc_id") % 5 == 1) & (F.length("text") < 900), "bad").otherwise(host)).cache()
+    rows = quality.quality_rules(docs).collect()
+    expected = slow_verdicts(docs.collect())
+    assert len(rows) == docs.count() and {r["doc_id"]: r["kept"] for r in rows} == expected
+    assert sum(expected.values()) > 50
+
+
 def test_bad_host_goes(spark):
     good = " ".join(f"word{i}" for i in range(80))
     rows = [(i, "short", "en", "bad", 1) for i in range(90)] + [(i, good, "en", "bad", 1) for i in range(90, 100)]
