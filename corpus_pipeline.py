@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; every stage
 is written as a table and read again before the next. All but the last return
 the columns of documents.
+
+Defined cases, in every stage: rows with a null id or one that repeats are rows
+of their own; a null or blank text goes at the language stage; rows that are
+equal in id and text go with the copies at the near-duplicate stage, and are
+kept, cut or mixed each by itself elsewhere; ties go as the operators say; an
+empty table gives an empty table; further columns pass through, unless they have
+the name of one that mixing adds (size, target, taken, position) or mix_row.
 """
 
 from __future__ import annotations
@@ -45,15 +52,12 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size, target, words taken and place in the mix."""
+    """Documents that the mix takes, with their size, target, words taken and place in the mix; repeated rows each have their share."""
     scratch = Scratch(spark)
-    taken = taken_by_document(weighted_fair_mix(docs)).where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("taken_id"), "text_hash").agg(
-        F.first("size").alias("size"), F.first("target").alias("target"), F.max("taken").alias("taken"), F.min("position").alias("position")
-    )
-    taken = scratch.table(taken, "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("text") == F.col("text_hash"))
-    return docs.join(broadcast_if_small(taken, 64), same).drop("taken_id", "text_hash")
+    rows = scratch.table(docs.withColumn("mix_row", F.monotonically_increasing_id()), "rows")
+    taken = taken_by_document(weighted_fair_mix(rows, row_col="mix_row")).where("taken > 0")
+    taken = scratch.table(taken.select(F.col("row").alias("mix_row"), "size", "target", "taken", "position"), "taken")
+    return rows.join(broadcast_if_small(taken, 48), "mix_row").drop("mix_row")
 
 
 STAGES = [
