@@ -1,22 +1,25 @@
 """Language-model scores by deleted interpolation.
 
-A bigram model: maximum-likelihood estimates of the bigram, the word and the
-uniform distribution are mixed by weights that depend on how often the context
-was seen, in powers of two. Expectation-maximisation learns the weights on the
+A trigram model: maximum-likelihood estimates of the trigram, the bigram, the
+word and the uniform distribution are mixed by weights that depend on how often
+the context was seen, in powers of two: the context of two tokens if training
+has it, else that of one. Expectation-maximisation learns the weights on the
 training tokens, each held out of its own counts.
 
 Counts never meet in one table of all words. Documents are put in chunks of
-some megabytes; each chunk asks for its distinct words and bigrams, as sorted
-hashes cut into ranges of the hash space; each range adds up what all chunks
-hold and answers each in the order of its question; the answers come back to
-the chunk. What moves is a few bytes a distinct n-gram and chunk, and a word in
-every document is one entry a chunk. Bigram hashes are as wide as the input's
-size asks for, so that a clash has a chance below 2**-20; word hashes have 64 bits.
+some megabytes; each chunk asks for its distinct n-grams, as sorted hashes cut
+into ranges of the hash space; each range adds up what all chunks hold and
+answers each in the order of its question; the answers come back to the chunk.
+What moves is a few bytes a distinct n-gram and chunk, and a word in every
+document is one entry a chunk; a chunk has a row for each range that it asks, at
+most one for each of its n-grams. Hashes of bigrams and trigrams are as wide as
+the input's size asks for, so that a clash has a chance below 2**-20 for a bigram
+and 2**-12 for a trigram; word hashes have 64 bits.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as
 a training row; repeated rows are counted and scored each; no training rows
 leave the uniform distribution; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored; a text is never cut, so a very long one is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -29,20 +32,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import id_type, utf8_values
+from docmill.llm.columns import give_back, id_type, utf8_values
 from docmill.llm.kernels import mixed, packed, unpacked, word_hashes
 from docmill.session import Scratch
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Text whose n-grams one range of the hash space answers, about.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
+#: Bits of bigram and trigram hashes beyond those that number all bytes of the input, and the fewest in all.
+SPARE_BITS, LEAST_BITS = (20, 12), 40
 
 END = np.uint64(0x5E6D0C3A9B1F2487)
 START = np.uint64(0x1C7A4E93D05B86F3)
 ADDED = 0.1
 
 #: Steps of the logarithm, a doubling, in which the ratios of estimates are counted for the weights.
-STEPS = 4
+STEPS = 2
+#: Ratios that a code can name, and the code of none; buckets of contexts of two tokens, then those of one.
+RATIOS, NONE = 4096, -1000
+ONE_TOKEN = 64
 ITERATIONS = 60
 LEAST_WEIGHT = 1e-6
 
@@ -66,8 +74,14 @@ def token_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tokens, contexts, sizes
 
 
-def bigrams(contexts: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
-    return mixed(contexts * np.uint64(0xD6E8FEB86659FD93) + tokens) >> np.uint64(64 - bits)
+def ngram_keys(tokens: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, bits: tuple[int, int]) -> list[tuple[np.ndarray, int]]:
+    """Hashes of the words, bigrams and trigrams that end at each token, and their bits; texts start with two START."""
+    pairs = mixed(contexts * np.uint64(0xD6E8FEB86659FD93) + tokens)
+    earlier = np.empty_like(contexts)
+    earlier[1:] = contexts[:-1]
+    earlier[np.cumsum(sizes) - sizes] = START
+    triples = mixed(earlier * np.uint64(0xA0761D6478BD642F) + pairs)
+    return [(tokens, 64), (pairs >> np.uint64(64 - bits[0]), bits[0]), (triples >> np.uint64(64 - bits[1]), bits[1])]
 
 
 def distinct_counts(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,10 +90,11 @@ def distinct_counts(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray,
     return distinct, np.bincount(place[counted], minlength=len(distinct)).astype(np.uint64), place
 
 
-def range_bounds(distinct: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """Where each of the ranges (a power of two) of the hash space starts in sorted hashes, and the end."""
-    step = bits - (ranges.bit_length() - 1)
-    return np.append(np.searchsorted(distinct, np.arange(ranges, dtype=np.uint64) << np.uint64(step)), len(distinct)) if ranges > 1 else np.array([0, len(distinct)])
+def range_numbers(distinct: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """The range of each sorted hash; ranges is a power of two."""
+    if ranges == 1:
+        return np.zeros(len(distinct), np.int64)
+    return (distinct >> np.uint64(bits + 1 - ranges.bit_length())).astype(np.int64)
 
 
 def to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -127,133 +142,160 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return docs.mapInArrow(run, "chunk bigint, data binary")
 
 
-def counted_chunk(data: bytes, bits: int):
-    """A chunk's batch, tokens by text, and distinct counts of its words and bigrams."""
+KINDS = ("words", "bigrams", "trigrams")
+
+
+def counted_chunk(data: bytes):
+    """A chunk's batch, its tokens, their contexts, tokens by text, and which tokens are for training."""
     batch = from_bytes(data)
     tokens, contexts, sizes = token_arrays(utf8_values(batch.column(1)))
     training = np.repeat(~np.array(batch.column(2).to_pylist(), bool), sizes)
     return batch, tokens, contexts, sizes, training
 
 
-def questions(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """One row a chunk and range: its words and bigrams there, with their training counts."""
+def questions(chunks: DataFrame, ranges: int, bits: tuple[int, int]) -> DataFrame:
+    """One row a chunk and range that it asks: its n-grams there, with their training counts."""
+    names = ["range", "chunk", *(n for k in KINDS for n in (k, f"{k}_counts"))]
 
     def run(batches):
         for rows in batches:
             for chunk, data in zip(rows.column(0).to_pylist(), rows.column(1)):
-                _, tokens, contexts, _, training = counted_chunk(data.as_py(), bits)
+                _, tokens, contexts, sizes, training = counted_chunk(data.as_py())
                 own = []
-                for keys, width in ((tokens, 64), (bigrams(contexts, tokens, bits), bits)):
+                for keys, width in ngram_keys(tokens, contexts, sizes, bits):
                     distinct, counts, _ = distinct_counts(keys, training)
-                    own.append((distinct, counts, range_bounds(distinct, ranges, width)))
-                out = [[], [], [], [], []]
-                for r in range(ranges):
-                    out[0].append(r)
-                    for k, (distinct, counts, bounds) in enumerate(own):
-                        a, b = bounds[r], bounds[r + 1]
-                        out[1 + 2 * k].append(packed(distinct[a:b], rising=True))
-                        out[2 + 2 * k].append(packed(counts[a:b]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int32()), pa.array([chunk] * ranges, pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])],
-                    names=["range", "chunk", "words", "word_counts", "bigrams", "bigram_counts"],
-                )
+                    own.append((distinct, counts, range_numbers(distinct, ranges, width)))
+                asked = np.unique(np.concatenate([np.unique(r) for _, _, r in own]))
+                out = [[] for _ in range(2 * len(own))]
+                for k, (distinct, counts, r) in enumerate(own):
+                    for a, b in zip(np.searchsorted(r, asked, "left").tolist(), np.searchsorted(r, asked, "right").tolist()):
+                        out[2 * k].append(packed(distinct[a:b], rising=True))
+                        out[2 * k + 1].append(packed(counts[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([chunk] * len(asked), pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names=names)
+        give_back()
 
-    return chunks.mapInArrow(run, "range int, chunk bigint, words binary, word_counts binary, bigrams binary, bigram_counts binary")
+    return chunks.mapInArrow(run, "range bigint, chunk bigint, " + ", ".join(f"{n} binary" for n in names[2:]))
 
 
 def answers(asked: DataFrame) -> DataFrame:
     """One row a chunk and range: the corpus counts, in the question's order; n_types and n_tokens once a range."""
 
-    def total(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int, int]:
-        parts = [unpacked(k, rising=True) for k in keys]
+    def total(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[list[bytes], int, int]:
+        parts = [unpacked(k.as_py(), rising=True) for k in keys]
         distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
         sums = np.zeros(len(distinct), np.uint64)
-        np.add.at(sums, place, np.concatenate([unpacked(c) for c in counts]))
+        np.add.at(sums, place, np.concatenate([unpacked(c.as_py()) for c in counts]))
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         return [packed(x) for x in np.split(sums[place], cuts)], int((sums > 0).sum()), int(sums.sum())
 
     def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_pylist() for c in ("words", "word_counts", "bigrams", "bigram_counts")]
-        words, n_types, n_tokens = total(columns[0], columns[1])
-        pairs, _, _ = total(columns[2], columns[3])
+        found = [total(table.column(k), table.column(f"{k}_counts")) for k in KINDS]
         once = [1] + [0] * (table.num_rows - 1)
-        return pa.table(
+        out = pa.table(
             {
                 "chunk": table.column("chunk"),
                 "range": table.column("range"),
-                "word_counts": pa.array(words, pa.binary()),
-                "bigram_counts": pa.array(pairs, pa.binary()),
-                "n_types": pa.array([n_types * x for x in once], pa.int64()),
-                "n_tokens": pa.array([n_tokens * x for x in once], pa.int64()),
+                **{f"{k}_counts": pa.array(x[0], pa.binary()) for k, x in zip(KINDS, found)},
+                "n_types": pa.array([found[0][1] * x for x in once], pa.int64()),
+                "n_tokens": pa.array([found[0][2] * x for x in once], pa.int64()),
             }
         )
+        del found
+        give_back()
+        return out
 
-    schema = "chunk bigint, range int, word_counts binary, bigram_counts binary, n_types bigint, n_tokens bigint"
+    schema = "chunk bigint, range bigint, " + ", ".join(f"{k}_counts binary" for k in KINDS) + ", n_types bigint, n_tokens bigint"
     return asked.groupBy("range").applyInArrow(run, schema)
 
 
-def counted(chunks: DataFrame, answered: DataFrame, bits: int, n_tokens: int, n_types: int, kind: str) -> DataFrame:
+def counted(chunks: DataFrame, answered: DataFrame, bits: tuple[int, int], n_tokens: int, n_types: int, kind: str) -> DataFrame:
     """One row a document: its tokens' corpus counts, its base score and counts of tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = right.sort_by("range")
-        totals = [np.concatenate([unpacked(x) for x in found.column(c).to_pylist()]) for c in ("word_counts", "bigram_counts")]
-        batch, tokens, contexts, sizes, training = counted_chunk(left.column("data")[0].as_py(), bits)
-        distinct, place = np.unique(tokens, return_inverse=True)
-        words = totals[0][place].astype(np.int64)
+        batch, tokens, contexts, sizes, _ = counted_chunk(left.column("data")[0].as_py())
         first = np.cumsum(sizes) - sizes
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        at_end = np.searchsorted(distinct, END)
-        before[first] = int(totals[0][at_end])  # texts start as often as they end
-        del place
-        _, place = np.unique(bigrams(contexts, tokens, bits), return_inverse=True)
-        pairs = totals[1][place].astype(np.int64)
-        del place
+        own = []
+        for k, (keys, _) in zip(KINDS, ngram_keys(tokens, contexts, sizes, bits)):
+            total = np.concatenate([unpacked(x.as_py()) for x in found.column(f"{k}_counts")])
+            distinct, place = np.unique(keys, return_inverse=True)
+            own.append(total[place].astype(np.int64))
+            if k == "words":
+                starts = int(total[np.searchsorted(distinct, END)])  # texts start as often as they end
+            del total, distinct, place
+        words, pairs, triples = own
         base = np.log10((words + ADDED) / (n_tokens + ADDED * (n_types + 1)))
-        cuts = list(zip(first.tolist(), (first + sizes).tolist()))
-        return pa.table(
+        once = np.array([starts])
+        cuts = zip(first.tolist(), (first + sizes).tolist())
+        out = pa.table(
             {
                 "doc_id": batch.column(0),
                 "held_out": batch.column(2),
                 "n_tokens": pa.array(sizes, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((words > 0).astype(np.int64), first), pa.int64()),
                 "base_score": pa.array(np.add.reduceat(base, first)),
-                "counts": pa.array([packed(np.concatenate([words[a:b], before[a : a + 1], pairs[a:b]])) for a, b in cuts], pa.binary()),
+                "counts": pa.array([packed(np.concatenate([words[a:b], pairs[a:b], triples[a:b], once])) for a, b in cuts], pa.binary()),
             }
         )
+        del own, words, pairs, triples
+        give_back()
+        return out
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, counts binary"
     return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def estimates(counts: bytes, n_tokens: int, n_types: int, deleted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Context buckets, bigram and word estimates and the uniform one; deleted (0 or 1) is taken off each count."""
+def estimates(counts: bytes, n_tokens: int, n_types: int, deleted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context buckets and the trigram, bigram, word and uniform estimates; deleted (0 or 1) is taken off each count."""
     values = unpacked(counts).astype(np.int64)
-    n = len(values) // 2
-    words, pairs = values[:n], values[n + 1 :]
-    before = np.concatenate([values[n : n + 1], words[:-1]]) - deleted
-    pair = np.divide(pairs - deleted, before, out=np.zeros(n), where=before > 0)
-    word = (words - deleted) / max(1, n_tokens - deleted)
-    bucket = np.frexp(np.maximum(before, 0).astype(float))[1]
-    return bucket, np.maximum(pair, 0.0), np.maximum(word, 0.0), 1 / (n_types + 1)
+    starts, (words, pairs, triples) = values[-1:], values[:-1].reshape(3, -1) - deleted
+    before = np.concatenate([starts - deleted, words[:-1]])
+    two_before = np.concatenate([starts - deleted, pairs[:-1]])
+
+    def ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.maximum(np.divide(part, whole, out=np.zeros(len(part)), where=whole > 0), 0.0)
+
+    def bucket(count: np.ndarray) -> np.ndarray:
+        return np.frexp(np.maximum(count, 0).astype(float))[1]
+
+    word = np.maximum(words / max(1, n_tokens - deleted), 0.0)
+    found = np.stack([ratio(triples, two_before), ratio(pairs, before), word, np.full(len(word), 1 / (n_types + 1))], axis=1)
+    return np.where(two_before > 0, bucket(two_before), ONE_TOKEN + bucket(before)), found
+
+
+def code_of(bucket: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """One number for a bucket and the ratios of estimates to the uniform one, in steps of the logarithm."""
+    code = bucket.astype(np.int64)
+    for part in (found[:, :-1] / found[:, -1:]).T:
+        step = np.full(len(part), NONE, np.int64)
+        step[part > 0] = np.rint(STEPS * np.log2(part[part > 0])).astype(np.int64)
+        code = code * RATIOS + step + RATIOS // 2
+    return code
+
+
+def ratios_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket and the ratios, that of the uniform estimate (1) last."""
+    ratios = [np.ones(len(code))]
+    for _ in range(3):
+        step = code % RATIOS - RATIOS // 2
+        ratios.insert(0, np.where(step == NONE, 0.0, np.exp2(step / STEPS)))
+        code = code // RATIOS
+    return code, np.stack(ratios, axis=1)
 
 
 def ratio_counts(rows: DataFrame, n_tokens: int, n_types: int) -> DataFrame:
-    """How many training tokens have which context bucket and ratios of estimates to the uniform one."""
+    """How many training tokens have which context bucket and ratios of estimates to the uniform one.
 
-    def binned(ratio: np.ndarray) -> np.ndarray:
-        out = np.full(len(ratio), -1000, np.int64)
-        seen = ratio > 0
-        out[seen] = np.rint(STEPS * np.log2(ratio[seen])).astype(np.int64)
-        return out
+    There are some 100 buckets, and a ratio has STEPS values for each doubling
+    between 1 and the corpus' tokens, so the rows are bounded by their product
+    and in practice some ten thousands, whatever the input.
+    """
 
     def run(batches):
-        seen: dict[tuple[int, int, int], int] = {}
+        seen: dict[int, int] = {}
         for batch in batches:
             for data in batch.column(0):
-                bucket, pair, word, uniform = estimates(data.as_py(), n_tokens, n_types, 1)
-                code = (bucket * 4096 + binned(pair / uniform) + 2048) * 4096 + binned(word / uniform) + 2048
+                code = code_of(*estimates(data.as_py(), n_tokens, n_types, 1))
                 for c, n in zip(*(x.tolist() for x in np.unique(code, return_counts=True))):
                     seen[c] = seen.get(c, 0) + n
         yield pa.RecordBatch.from_arrays(
@@ -264,27 +306,22 @@ def ratio_counts(rows: DataFrame, n_tokens: int, n_types: int) -> DataFrame:
     return own.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def learned_weights(found: list[tuple[int, int]], iterations: int = ITERATIONS) -> dict[int, tuple[float, float, float]]:
-    """Weights of the bigram, word and uniform estimates by context bucket; -1 holds those of all buckets together."""
+def learned_weights(found: list[tuple[int, int]], iterations: int = ITERATIONS) -> dict[int, tuple[float, ...]]:
+    """Weights of the trigram, bigram, word and uniform estimates by bucket; -1 holds those of all buckets together."""
     if not found:
-        return {-1: (1 / 3, 1 / 3, 1 / 3)}
+        return {-1: (1 / 4,) * 4}
     code, n = (np.array(x, np.int64) for x in zip(*sorted(found)))
-    ratios = []
-    for value in (code >> 12 & 4095, code & 4095):
-        power = value - 2048
-        ratios.append(np.where(power == -1000, 0.0, np.exp2(power / STEPS)))
-    three = np.stack([*ratios, np.ones(len(code))], axis=1)
-
-    def fitted(rows: np.ndarray) -> tuple[float, float, float]:
-        weights = np.full(3, 1 / 3)
+    buckets, ratios = ratios_of(code)
+
+    def fitted(rows: np.ndarray) -> tuple[float, ...]:
+        weights = np.full(4, 1 / 4)
         for _ in range(iterations):
-            share = three[rows] * weights
+            share = ratios[rows] * weights
             share /= share.sum(axis=1, keepdims=True)
             weights = (share * n[rows, None]).sum(axis=0) / n[rows].sum()
         weights = np.maximum(weights, LEAST_WEIGHT)
         return tuple(weights / weights.sum())
 
-    buckets = code >> 24
     return {-1: fitted(np.arange(len(code)))} | {int(b): fitted(np.flatnonzero(buckets == b)) for b in np.unique(buckets)}
 
 
@@ -294,23 +331,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     chunks = scratch.table(chunked(rows), "chunks")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    ranges = 1 << max(0, (size // RANGE_BYTES).bit_length())
-    bits = min(64, max(40, size.bit_length() + 20))
+    ranges = 1 << (size // RANGE_BYTES).bit_length()
+    bits = tuple(min(64, max(LEAST_BITS, size.bit_length() + more)) for more in SPARE_BITS)
     answered = scratch.table(answers(questions(chunks, ranges, bits)), "answers")
     totals = answered.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     n_types, n_tokens = int(totals[0]), int(totals[1])
     kind = id_type(docs, id_col)
     found = scratch.table(counted(chunks, answered, bits, n_tokens, n_types, kind), "counted")
     weights = learned_weights([(r["code"], r["n"]) for r in ratio_counts(found, n_tokens, n_types).collect()])
-    table = np.array([weights.get(b, weights[-1]) for b in range(66)])
+    table = np.array([weights.get(b, weights[-1]) for b in range(2 * ONE_TOKEN + 1)])
 
     def run(batches):
         for batch in batches:
             scores = []
             for data in batch.column(5):
-                bucket, pair, word, uniform = estimates(data.as_py(), n_tokens, n_types, 0)
-                w = table[bucket]
-                scores.append(float(np.log10(w[:, 0] * pair + w[:, 1] * word + w[:, 2] * uniform).sum()))
+                bucket, found = estimates(data.as_py(), n_tokens, n_types, 0)
+                scores.append(float(np.log10((table[bucket] * found).sum(axis=1)).sum()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array([n_tokens] * batch.num_rows, pa.int64()), batch.column(4), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

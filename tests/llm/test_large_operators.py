@@ -302,37 +302,60 @@ def test_language_model(spark, monkeypatch):
 
 
 def test_model_is_a_distribution(spark):
-    """Scores equal a plain bigram model with the same weights, which sums to one over the known words and one unknown."""
+    """Scores equal a plain trigram model with the same weights, which sums to one over the known words and one unknown."""
     texts = ["a b a b c", "a c", "b b a", "c a b", "a b", None, "", "zz a"] * 3
     docs = clashing(documents(spark, texts))
     rows = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
     train = [(i, [*(t or "").split(), "END"]) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
-    uni, bi = Counter(), Counter()
+
+    def grams(t):
+        padded = ["START", "START", *t]
+        return zip(t, zip(padded[1:], t), zip(padded, padded[1:], t))
+
+    counts: Counter = Counter()
     for _, t in train:
-        uni.update(t)
-        bi.update(zip(["START", *t], t))
-    n, v = sum(uni.values()), len(uni)
-    before = {**uni, "START": uni["END"]}
-    found = Counter()
+        for three in grams(t):
+            counts.update(three)
+    words = {w for _, t in train for w in t}
+    n, v = sum(counts[w] for w in words), len(words)
+    before = {"START": counts["END"], ("START", "START"): counts["END"]}
+
+    def estimates(w, two, three, deleted):
+        one_before, two_before = (before.get(c, counts[c]) - deleted for c in (two[0], three[:2]))
+        found = [(counts[g] - deleted) / c if c > 0 else 0 for g, c in ((three, two_before), (two, one_before), (w, n - deleted))]
+        return math.frexp(two_before)[1] if two_before > 0 else 64 + math.frexp(max(one_before, 0))[1], [*found, 1 / (v + 1)]
+
+    codes: Counter = Counter()
     for _, t in train:
-        for a, b in zip(["START", *t], t):
-            c = before[a] - 1
-            q2, q1 = ((bi[a, b] - 1) / c if c else 0) * (v + 1), (uni[b] - 1) / (n - 1) * (v + 1)
-            bins = [round(4 * math.log2(q)) if q > 0 else -1000 for q in (q2, q1)]
-            found[(math.frexp(c)[1] * 4096 + bins[0] + 2048) * 4096 + bins[1] + 2048] += 1
-    weights = language_model.learned_weights(list(found.items()))
+        for three in grams(t):
+            bucket, found = estimates(*three, 1)
+            codes[int(language_model.code_of(np.array([bucket]), np.array([found]))[0])] += 1
+    weights = language_model.learned_weights(list(codes.items()))
     for i, t in enumerate(texts):
         total = 0.0
-        for a, b in zip(["START", *(t or "").split()], [*(t or "").split(), "END"]):
-            c = before.get(a, 0)
-            w = weights.get(math.frexp(c)[1], weights[-1])
-            total += math.log10(w[0] * (bi[a, b] / c if c else 0) + w[1] * uni[b] / n + w[2] / (v + 1))
+        for three in grams([*(t or "").split(), "END"]):
+            bucket, found = estimates(*three, 0)
+            total += math.log10(sum(a * b for a, b in zip(weights.get(bucket, weights[-1]), found)))
         assert rows[i]["score"] == pytest.approx(total, rel=1e-6)
 
 
 def test_expectation_maximisation():
-    exact = language_model.learned_weights([((5 * 4096 + 2048 + 40) * 4096 + 2048 - 1000, 700), ((5 * 4096 + 2048 - 1000) * 4096 + 2048 + 40, 300)])
-    assert exact[5][0] == pytest.approx(0.7, abs=0.01) and exact[5][1] == pytest.approx(0.3, abs=0.01)
+    found = np.array([[2.0**20, 0.0, 0.0, 1.0], [0.0, 0.0, 2.0**20, 1.0]])
+    codes = language_model.code_of(np.array([5, 5]), found)
+    buckets, ratios = language_model.ratios_of(codes)
+    assert buckets.tolist() == [5, 5] and ratios.tolist() == found.tolist()
+    weights = language_model.learned_weights(list(zip(codes.tolist(), [700, 300])))[5]
+    assert weights[0] == pytest.approx(0.7, abs=0.01) and weights[2] == pytest.approx(0.3, abs=0.01)
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=60)) for _ in range(300)]
+    texts += texts[:60]
+    rows = {r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(documents(spark, texts)).collect()}
+    own = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 and (i >= 60 or zlib.crc32(str(i + 300).encode()) % 10)]
+    twice, once = [rows[i] for i in own if i < 60], [rows[i] for i in own if i >= 60]
+    assert min(twice) > max(once)
 
 
 def test_language_model_cases(spark):
