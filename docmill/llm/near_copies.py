@@ -10,8 +10,9 @@ The texts at a meeting place first meet one of them, the one that has the place
 earliest in its own order. What was edited is rare and so comes first, which
 makes that one the least edited, and it joins most of a group of near copies.
 Then only texts of one place that are still in different groups meet each other,
-if their sizes and what they have left can make a near copy. The groups are
-those of all pairs. Places of frequent shingles are summed up before they are
+if their sizes and what they have left can make a near copy. Pairs pass a sketch
+first: texts that differ in the parity of so many buckets of their shingles
+differ in as many shingles at least. The groups are those of all pairs. Places of frequent shingles are summed up before they are
 dealt out and join by broadcast (at most KEPT of them); the rest have few texts.
 
 Defined cases: null, empty and blank texts have no shingle and meet nothing; a
@@ -44,6 +45,8 @@ SIMILAR = 80
 SAMPLE, FREQUENT, KEPT = 16, 4, 1 << 19
 #: Pairs of one text that are checked in one place.
 PARTNERS = 1024
+#: Bits of the smallest sketch; larger ones have half a bit for each shingle, or more.
+SKETCH = 1024
 
 def digests(text: bytes, n: int) -> Iterator[bytes]:
     """The joined 8-byte hashes of a UTF-8 text's shingles, in parts; none without words."""
@@ -70,6 +73,15 @@ def set_digest(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes in each bucket, as a power of two of bits packed in 64-bit numbers."""
+    buckets = SKETCH
+    while 2 * buckets < len(hashes):
+        buckets *= 2
+    odd = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
     """Those of the distinct rising hashes of which a near copy has at least one in its own prefix: the rare, then the frequent ones."""
     size = len(hashes)
@@ -83,11 +95,12 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar
     return rare[:length], common[: max(0, length - len(rare))]
 
 
-def arrays(values: list[np.ndarray]) -> pa.Array:
+def arrays(values: list[np.ndarray | None]) -> pa.Array:
     """A column of arrays of hashes as signed numbers."""
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    sizes = [0 if v is None else len(v) for v in values]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([v is None for v in values] + [False], bool))
+    flat = np.concatenate([np.empty(0, np.uint64), *(v for v in values if v is not None)]).view(np.int64)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat))
 
 
 def frequent_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,39 +135,64 @@ def may_be_alike(x: Column, y: Column, similar: int = SIMILAR) -> Column:
     return rest * (100 + similar) >= (x["size"] + y["size"]) * similar
 
 
-def met_places(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """token, sd, size, at and the place's lead (at, sd, size), for prefix shingles that several sets have."""
-    rare = sets.select(F.posexplode("rare").alias("at", "token"), "sd", "size")
+def met_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """token, sd, size, at and the place's lead (at, sd, size), for prefix shingles that several sets have.
+
+    A set that several rows have counts as one.
+    """
+    rare = rows.select(F.posexplode("rare").alias("at", "token"), "sd", "size")
     here = Window.partitionBy("token").orderBy("at", "sd")
     first = F.first(F.struct("at", "sd", "size")).over(here)
-    rare = rare.withColumn("lead", first).withColumn("next", F.lead("sd").over(here)).where((F.col("sd") != F.col("lead.sd")) | F.col("next").isNotNull())
-    common = sets.select(F.posexplode("common").alias("nth", "token"), "sd", "size", F.size("rare").alias("before"))
+    last = F.last("sd").over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rare = rare.withColumn("lead", first).withColumn("last", last).where(F.col("last") != F.col("lead.sd"))
+    common = rows.select(F.posexplode("common").alias("nth", "token"), "sd", "size", F.size("rare").alias("before"))
     common = common.select((F.col("nth") + F.col("before")).alias("at"), "token", "sd", "size")
-    leads = common.groupBy("token").agg(F.min(F.struct("at", "sd", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("token", "lead")
+    leads = common.groupBy("token").agg(F.min(F.struct("at", "sd", "size")).alias("lead"), F.max(F.struct("at", "sd")).alias("last"))
+    leads = leads.where("last.sd <> lead.sd").select("token", "lead")
     common = common.join(F.broadcast(scratch.table(leads, "leads")), "token")  # KEPT rows at most
     columns = ["token", "sd", "size", "at", "lead"]
     return scratch.table(rare.select(*columns).unionByName(common.select(*columns)), "places")
 
 
+def with_sides(pairs: DataFrame, values: DataFrame, column: str, hot: DataFrame) -> DataFrame:
+    """pairs (a, b) with the column of both, from values (sd, column), as x and y; hot: a and the places (shares) it is dealt to, if several."""
+    right = pairs.join(values.select(F.col("sd").alias("b"), F.col(column).alias("y")), "b").join(hot, "a", "left")
+    right = right.withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    left = values.select(F.col("sd").alias("a"), F.col(column).alias("x")).join(hot, "a", "left")
+    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return right.join(left, ["a", "share"]).drop("share")
+
+
+def may_match(x: Column, y: Column, similar: int = SIMILAR) -> Column:
+    """Whether two sets (size, sketch) can share enough; the larger sketch is folded to the smaller one's buckets."""
+
+    def folded(v: Column, n: Column) -> Column:
+        half = F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(v) == n, v).otherwise(half)
+
+    n = F.least(F.size(x["sketch"]), F.size(y["sketch"]))
+    differ = F.zip_with(folded(x["sketch"], n), folded(y["sketch"], n), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    total = F.aggregate(differ, F.lit(0), lambda s, d: s + d)
+    return total * (100 + similar) <= (x["size"] + y["size"]) * (100 - similar)
+
+
 def alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, scratch: Scratch, name: str, similar: int = SIMILAR) -> DataFrame:
     """Those of the pairs (a, b) of sets that are near copies."""
     pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("sd")).union(pairs.select("b")).distinct().join(sets.select("sd", "least.doc_id", "least.tx"), "sd")
+    # a set with very many partners is dealt to several places
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
+    hot = broadcast_if_small(scratch.table(shares.where("shares > 1"), f"{name}-hot"), 24)
+    near = with_sides(pairs, sets.select("sd", F.struct("size", "sketch").alias("own")), "own", hot).where(may_match(F.col("x"), F.col("y"), similar))
+    near = scratch.table(near.select("a", "b"), f"{name}-near")
+    scratch.drop(f"{name}-pairs")
+    wanted = near.select(F.col("a").alias("sd")).union(near.select("b")).distinct().join(sets.select("sd", "least.doc_id", "least.tx"), "sd")
     wanted = scratch.table(wanted.withColumnRenamed("doc_id", "id"), f"{name}-wanted")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t.tx") == F.col("w.tx"))
     own = texts.alias("t").join(broadcast_if_small(wanted, 40).alias("w"), same).select("sd", "text")
     tokens = scratch.table(full_sets(own, n), f"{name}-sets")
-    # a text with very many partners is dealt to several places
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
-    hot = scratch.table(shares.where("shares > 1"), f"{name}-hot")
-    hot = broadcast_if_small(hot, 24)
-    right = pairs.join(tokens.select(F.col("sd").alias("b"), F.col("tokens").alias("y")), "b").join(hot, "a", "left")
-    right = right.withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
-    left = tokens.select(F.col("sd").alias("a"), F.col("tokens").alias("x")).join(hot, "a", "left")
-    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
     enough = F.size(F.array_intersect("x", "y")) * (100 + similar) >= (F.size("x") + F.size("y")) * similar
-    found = scratch.table(right.join(left, ["a", "share"]).where(enough).select("a", "b"), f"{name}-found")
-    for part in ("pairs", "wanted", "sets", "hot"):
+    found = scratch.table(with_sides(near, tokens, "tokens", hot).where(enough).select("a", "b"), f"{name}-found")
+    for part in ("near", "wanted", "sets", "hot"):
         scratch.drop(f"{name}-{part}")
     return found
 
@@ -166,13 +204,14 @@ def still_apart(met: DataFrame, groups: DataFrame) -> DataFrame:
     return own.join(broadcast_if_small(several, 16), "token", "left_semi")
 
 
-def linked_near_copies(sets: DataFrame, texts: DataFrame, edges: DataFrame, n: int, scratch: Scratch, similar: int = SIMILAR) -> DataFrame:
+def linked_near_copies(rows: DataFrame, sets: DataFrame, texts: DataFrame, edges: DataFrame, n: int, scratch: Scratch, similar: int = SIMILAR) -> DataFrame:
     """node and component of edges (a, b) over sets with those of all near copies added.
 
-    sets has sd, size, rare, common and least (doc_id, tx), whose text stands
-    for it; texts has doc_id, tx and text.
+    rows has sd, size and the prefix (rare, common) of each set once or more;
+    sets has sd, size, sketch and least (doc_id, tx), whose text stands for it;
+    texts has doc_id, tx and text.
     """
-    met = met_places(sets, scratch)
+    met = met_places(rows, scratch)
     stars = met.where((F.col("sd") != F.col("lead.sd")) & may_be_alike(F.struct("size", "at"), F.col("lead"), similar))
     stars = alike(stars.select(F.col("lead.sd").alias("a"), F.col("sd").alias("b")), sets, texts, n, scratch, "star", similar)
     edges = scratch.table(edges.unionByName(stars), "edges")

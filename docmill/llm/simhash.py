@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.columns import map_texts, sliced, utf8_values
 from docmill.llm.components import connected_components
-from docmill.llm.near_copies import arrays, digests, distinct, frequent_shingles, linked_near_copies, prefix, set_digest
+from docmill.llm.near_copies import arrays, digests, distinct, frequent_shingles, linked_near_copies, prefix, set_digest, sketch
 from docmill.session import Scratch, broadcast_if_small
 
 SHINGLE = 4
@@ -49,6 +49,8 @@ BLOCKS = {13: (4, 3, 3, 3), 12: (3, 3, 3, 3)}
 THIRD_BLOCKS = {13: (3, 3, 3, 2, 2), 12: (3, 3, 2, 2, 2)}
 #: Fingerprints at one meeting place that are paired; more are split, then go by their neighbours.
 PAIRED = 64
+#: Sets that a task remembers to tell copies; beyond that it starts afresh.
+REMEMBERED = 1 << 17
 
 
 def fingerprint(text: bytes, n: int = SHINGLE) -> int:
@@ -206,30 +208,36 @@ def first_of_groups(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in sliced(batches):
             parts = [list(digests(x, n)) for x in utf8_values(part.column(1))]
             found = np.array([folded(p) for p in parts], np.uint64).view(np.int64)
             sets = [distinct(p) for p in parts]
-            names = pa.array([set_digest(x) for x in sets], pa.int64())
-            sizes = pa.array([len(x) for x in sets], pa.int32())
-            prefixes = [prefix(x, *shared.value) for x in sets]
+            names = [set_digest(x) for x in sets]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            # a task sends the prefix and sketch of copies once
+            first = [name not in seen and not seen.add(name) for name in names]
+            prefixes = [prefix(x, *shared.value) if f else None for x, f in zip(sets, first)]
+            columns = [arrays([p and p[k] for p in prefixes]) for k in range(2)]
+            columns.append(arrays([sketch(x) if f else None for x, f in zip(sets, first)]))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(found), names, sizes, *(arrays(list(x)) for x in zip(*prefixes))],
-                names=["doc_id", "tx", "fp", "sd", "size", "rare", "common"],
+                [part.column(0), part.column(2), pa.array(found), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), *columns],
+                names=["doc_id", "tx", "fp", "sd", "size", "rare", "common", "sketch"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, tx bigint, fp bigint, sd bigint, size int, rare array<bigint>, common array<bigint>"
+    schema = f"doc_id {kind}, tx bigint, fp bigint, sd bigint, size int, rare array<bigint>, common array<bigint>, sketch array<bigint>"
     rows = scratch.table(texts.mapInArrow(run, schema), "prefixes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("least")
-    sets = rows.groupBy("sd").agg(*(F.first(c).alias(c) for c in ("size", "rare", "common")), least)
+    sets = rows.groupBy("sd").agg(F.first("size").alias("size"), F.max("sketch").alias("sketch"), least)
     sets = scratch.table(sets, "sets")
     # a set of shingles is a node; one fingerprint's sets hang on the least of them
     prints = rows.select("fp", "sd").distinct()
     prints = scratch.table(prints.join(prints.groupBy("fp").agg(F.min("sd").alias("node")), "fp"), "prints")
     own = prints.where("sd <> node").select(F.col("sd").alias("a"), F.col("node").alias("b"))
     edges = links(prints.select("fp", "node").distinct(), scratch).unionByName(own)
-    groups = linked_near_copies(sets, texts, edges, n, scratch)
+    groups = linked_near_copies(rows, sets, texts, edges, n, scratch)
     grouped = sets.select("sd", "least").join(groups.select(F.col("node").alias("sd"), "component"), "sd", "left")
     keep = grouped.groupBy(F.coalesce("component", "sd").alias("component")).agg(F.min("least").alias("least"))
     keep = scratch.table(keep.select(F.col("least.doc_id").alias("kept_id"), F.col("least.tx").alias("kept_tx")), "kept")

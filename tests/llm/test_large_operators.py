@@ -158,6 +158,26 @@ def slow_near_copies(texts: dict) -> dict:
     return group
 
 
+def test_sketches(spark):
+    from docmill.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    rows, expected = [], []
+    for size in (0, 1, 50, 900, 2000, 2100, 5000):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for share in (0.0, 0.02, 0.08, 0.3, 1.0):
+            other = base.copy()
+            other[: int(size * share)] = rng.integers(0, 1 << 63, int(size * share))
+            other = np.concatenate([other, rng.integers(0, 1 << 63, size // 20).astype(np.uint64)])
+            x, y = np.unique(base), np.unique(other)
+            rows.append((len(x), near_copies.sketch(x).view(np.int64).tolist(), len(y), near_copies.sketch(y).view(np.int64).tolist()))
+            expected.append(len(np.intersect1d(x, y)) * 180 >= (len(x) + len(y)) * 80)
+    df = spark.createDataFrame([((a, b), (c, d), i) for i, (a, b, c, d) in enumerate(rows)], "x struct<size: int, sketch: array<long>>, y struct<size: int, sketch: array<long>>, i int")
+    passed = {r["i"] for r in df.where(near_copies.may_match(F.col("x"), F.col("y"))).collect()}
+    alike = {i for i, e in enumerate(expected) if e}
+    assert alike <= passed and len(passed - alike) <= 4 and len(alike) > 10
+
+
 @pytest.mark.parametrize("frequent", [2, 10**6])
 def test_near_copies(spark, monkeypatch, frequent):
     from docmill.llm import near_copies
