@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Byte values between words: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACES = b" \t\n\x0b\x0c\r"
+#: Rows whose texts are unpacked together.
+ROWS = 2000
 
 
 def utf8_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -33,6 +35,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which returns freed memory when its task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def map_texts(
     docs: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
@@ -43,11 +57,10 @@ def map_texts(
     """Apply function to Arrow batches of (id, text); other columns of docs are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+        for part in sliced(batches, ROWS):
+            yield function(part)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), schema)
 
 
 def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:

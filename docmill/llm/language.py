@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.llm.columns import id_type, map_texts
+from docmill.llm.columns import ROWS, giving_back, id_type, map_texts, sliced
 
 UNKNOWN = "und"
 LETTER = r"\pL"
@@ -43,7 +43,7 @@ SAMPLE_BYTES = 24_000
 
 #: Bytes of a text that step together; a longer text is parsed in pieces of this size that are joined again.
 PIECE = 512
-PIECES_AT_ONCE = 4096
+PIECES_AT_ONCE = 2048
 
 
 def suffix_automaton(text: bytes) -> tuple[list[dict[int, int]], list[int], list[int]]:
@@ -299,11 +299,11 @@ def identified_only(docs: DataFrame, parser: CrossParser, text_col: str = "text"
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             names, _ = predict(shared.value, batch.column(at))
             yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def fitted_parser(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.llm.columns import sliced, utf8_values
+from docmill.llm.columns import giving_back, sliced, utf8_values
 from docmill.llm.components import connected_components
 from docmill.session import Scratch, broadcast_if_small
 
@@ -111,7 +111,7 @@ def frequent_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]
             found = [distinct(list(digests(x, n))) for x in utf8_values(part.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["token"])
 
-    some = texts.where(F.pmod("tx", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "token bigint")
+    some = texts.where(F.pmod("tx", F.lit(SAMPLE)) == 0).select("text").mapInArrow(giving_back(run), "token bigint")
     most = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(KEPT).toArrow()
     tokens, counts = most["token"].to_numpy().astype(np.int64).view(np.uint64), most["n"].to_numpy()
     order = np.argsort(tokens)
@@ -126,7 +126,7 @@ def full_sets(texts: DataFrame, n: int) -> DataFrame:
             found = [distinct(list(digests(x, n))) for x in utf8_values(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), arrays(found)], names=["sd", "tokens"])
 
-    return texts.select("sd", "text").mapInArrow(run, "sd bigint, tokens array<bigint>")
+    return texts.select("sd", "text").mapInArrow(giving_back(run), "sd bigint, tokens array<bigint>")
 
 
 def may_be_alike(x: Column, y: Column, similar: int = SIMILAR) -> Column:

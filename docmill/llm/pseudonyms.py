@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.columns import ROWS, giving_back, sliced
+
 ROUNDS = 10
 #: Setting of the session that names the key.
 KEY_SETTING = "spark.docmill.pseudonym.secret"
@@ -244,14 +246,14 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes | None = N
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             done = [pseudonymise(x, key) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in done], pa.string())
             columns += [pa.array([c[k] for _, c in done], pa.int64()) for k in KINDS if counts]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *extra])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

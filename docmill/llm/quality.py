@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import ASCII_SPACES, utf8_values
+from docmill.llm.columns import ASCII_SPACES, ROWS, giving_back, sliced, utf8_values
 from docmill.session import BROADCAST_BYTES, Scratch, broadcast_if_small
 
 #: Fixed values of the base rules.
@@ -79,7 +79,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     """doc_id, host and the measures of every whole text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             rows = [measure(x) for x in utf8_values(batch.column(2))]
             found = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["doc_id", "host", *MEASURES])
@@ -87,7 +87,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, host_col)}
     schema = f"doc_id {kinds[id_col]}, host {kinds[host_col]}, " + ", ".join(f"{m} bigint" for m in MEASURES)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(giving_back(run), schema)
 
 
 def with_rule_failures(rows: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import map_texts, sliced, utf8_values
+from docmill.llm.columns import giving_back, map_texts, sliced, utf8_values
 from docmill.llm.components import connected_components
 from docmill.llm.near_copies import arrays, digests, distinct, frequent_shingles, linked_near_copies, prefix, set_digest, sketch
 from docmill.session import Scratch, broadcast_if_small
@@ -228,7 +228,7 @@ def first_of_groups(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, tx bigint, fp bigint, sd bigint, size int, rare array<bigint>, common array<bigint>, sketch array<bigint>"
-    rows = scratch.table(texts.mapInArrow(run, schema), "prefixes")
+    rows = scratch.table(texts.mapInArrow(giving_back(run), schema), "prefixes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("least")
     sets = rows.groupBy("sd").agg(F.first("size").alias("size"), F.max("sketch").alias("sketch"), least)
     sets = scratch.table(sets, "sets")
