@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 import threading
+import time
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -137,3 +141,74 @@ class JobState:
     def cancel(self) -> None:
         with self._lock:
             self.cancelled = True
+
+
+def reranker(kind: str, engines: dict[str, Callable], allow_external: bool = False) -> Callable:
+    """The reranker of a kind; services outside (any kind but local) need leave, and without it or for unknown kinds the local one serves."""
+    wanted = kind.lower()
+    return engines[wanted] if wanted in engines and (wanted == "local" or allow_external) else engines["local"]
+
+
+@dataclass
+class Breaker:
+    """Keeps away from an engine that failed, using another one until retry seconds have gone by."""
+
+    engine: Callable
+    other: Callable
+    retry: float = 300.0
+    clock: Callable[[], float] = time.monotonic
+    failed_at: float | None = None
+    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
+
+    def __call__(self, *args: object, **named: object) -> object:
+        with self._lock:
+            resting = self.failed_at is not None and self.clock() - self.failed_at < self.retry
+        if not resting:
+            try:
+                found = self.engine(*args, **named)
+            except Exception:  # whatever the engine raises, the other one answers
+                with self._lock:
+                    self.failed_at = self.clock()
+            else:
+                with self._lock:
+                    self.failed_at = None
+                return found
+        return self.other(*args, **named)
+
+
+class JsonFiles:
+    """Parsed JSON files, the least recently used leave beyond most; a changed file is read anew."""
+
+    def __init__(self, most: int = 128):
+        self.most = most
+        self.kept: OrderedDict[str, tuple[tuple, object]] = OrderedDict()
+
+    def read(self, path: str) -> object:
+        state = os.stat(path)
+        stamp = state.st_mtime_ns, state.st_size
+        if path not in self.kept or self.kept[path][0] != stamp:
+            with open(path, encoding="utf-8") as file:
+                self.kept[path] = stamp, json.load(file)
+        self.kept.move_to_end(path)
+        while len(self.kept) > self.most:
+            self.kept.popitem(last=False)
+        return self.kept[path][1]
+
+    def forget(self, path: str | None = None) -> None:
+        """One file, or all."""
+        if path is None:
+            self.kept.clear()
+        else:
+            self.kept.pop(path, None)
+
+
+def hwp_guarded(texts: DataFrame, least: int = 5) -> DataFrame:
+    """Parsed HWP files (path, text) that may become sections: of a HWP suffix, and with some text."""
+    return texts.where(F.lower("path").rlike(r"\.hwpx?$") & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= least))
+
+
+def hybrid_sections(text: DataFrame, tables: DataFrame) -> DataFrame:
+    """Sections of a file's text with those of its tables, the tables under the text's source id."""
+    ids = text.groupBy("doc_id").agg(F.first("source_id").alias("source_id"))
+    shared = tables.drop("source_id").join(ids, "doc_id")
+    return text.withColumn("is_table", F.lit(False)).unionByName(shared, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.functions import splitting
+from docmill.functions import layout, splitting
 from docmill.functions.text import clean_text
 from docmill.settings import DEFAULTS, Settings
 
@@ -148,6 +148,71 @@ def grid_markdown(cells: DataFrame) -> DataFrame:
     return rows.groupBy("table_id").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("markdown"))
 
 
+def markdown_cells(tables: DataFrame) -> DataFrame:
+    """table_id, row, col and cell of markdown tables (table_id, markdown): lines that open with a pipe, without rules."""
+    lines = F.filter(F.split("markdown", r"\r?\n"), lambda x: F.startswith(x, F.lit("|")) & ~F.contains(x, F.lit("---")))
+    rows = tables.select("table_id", F.posexplode(lines).alias("row", "line"))
+    cells = F.transform(F.split(F.btrim("line", F.lit("|")), r"\|"), lambda c: F.trim(c))
+    return rows.select("table_id", F.col("row").cast("long").alias("row"), F.posexplode(cells).alias("col", "cell"))
+
+
+def block_texts(blocks: DataFrame) -> DataFrame:
+    """doc_id, page, block_no, text and size (the largest) of glyph spans (doc_id, page, block_no, x0, y0, x1, y1, spans).
+
+    spans: size, x, y and text of each; a block goes by its own box.
+    """
+
+    def run(batches):
+        for batch in batches:
+            names = ("x0", "y0", "x1", "y1")
+            boxes = zip(*(batch.column(n).to_pylist() for n in names))
+            found = [
+                layout.block_text({"bbox": box, "lines": [{"spans": [{"size": s["size"], "origin": (s["x"], s["y"]), "text": s["text"]} for s in spans or []]}]})
+                for box, spans in zip(boxes, batch.column("spans").to_pylist())
+            ]
+            kept = [batch.column(n) for n in ("doc_id", "page", "block_no")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([t for t, _ in found], pa.string()), pa.array([z for _, z in found], pa.float64())], names=["doc_id", "page", "block_no", "text", "size"])
+
+    kinds = ", ".join(f"{n} {blocks.schema[n].dataType.simpleString()}" for n in ("doc_id", "page", "block_no"))
+    return blocks.mapInArrow(run, f"{kinds}, text string, size double")
+
+
+def section_chunks(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """doc_id, section, chunk_no, chunk and is_table of sections (doc_id, section, content, kind, is_table, title).
+
+    The first section's kind decides for its document: raw documents are their
+    first section alone, combined ones all of them, each split by headers; any
+    other document's tables give a chunk a row and its texts are split as they
+    are.
+    """
+    first = sections.groupBy("doc_id").agg(F.min_by("kind", "section").alias("how"), F.min("section").alias("first"))
+    rows = sections.join(first, "doc_id")
+    headed = F.coalesce(F.col("how").isin("raw", "combined"), F.lit(False))
+    whole = rows.where(headed & ((F.col("how") == "combined") | (F.col("section") == F.col("first"))))
+    plain = rows.where(~headed)
+
+    def split(texts: DataFrame, parts) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                out = [
+                    (d, s, n, c.text, c.is_table)
+                    for d, s, text in zip(*(batch.column(i).to_pylist() for i in range(3)))
+                    for n, c in enumerate(parts(text or ""))
+                ]
+                columns = list(zip(*out)) or [()] * 5
+                kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "section", "chunk_no", "chunk", "is_table"])
+
+        kind = texts.schema["doc_id"].dataType.simpleString()
+        return texts.select("doc_id", F.col("section").cast("long"), "content").mapInArrow(run, f"doc_id {kind}, section bigint, chunk_no bigint, chunk string, is_table boolean")
+
+    by_header = split(whole, lambda text: [c for p in splitting.hierarchy(text, "", settings) for c in p.children])
+    by_size = split(plain.where(~F.col("is_table")), lambda text: splitting.children(text, 1, settings))
+    named = plain.where("is_table").select(F.struct("doc_id", F.col("section").cast("long").alias("section")).alias("table_id"), "title", F.col("content").alias("markdown"))
+    table_rows = table_row_chunks(named).select("table_id.doc_id", "table_id.section", F.col("row_no").alias("chunk_no"), "chunk", F.lit(True).alias("is_table"))
+    return by_header.unionByName(by_size).unionByName(table_rows)
+
+
 def boxes_overlap(a: list[Column], b: list[Column]) -> Column:
     """Whether two boxes (x0, y0, x1, y1) share area."""
     return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])

@@ -120,3 +120,32 @@ def fallback_kept(vector_score: Column, query_tokens: Column, content: Column, s
         .when(F.size(query_tokens) == 0, F.lit(True))
         .otherwise(share >= settings.fallback_overlap)
     )
+
+
+def rerank_fallback(hits: DataFrame, top_k: int = DEFAULTS.rerank_docs) -> DataFrame:
+    """What a reranker that is busy, late or broken gives: the first top_k hits (query_id, doc_id, rank) at score 0, marked as skipped."""
+    count = F.count("*").over(Window.partitionBy("query_id"))
+    rows = hits.withColumn("filtered", F.greatest(count - top_k, F.lit(0)))
+    return rows.where(F.col("rank") <= top_k).select("query_id", "doc_id", "rank", F.lit(0.0).alias("rerank_score"), "filtered", F.lit(True).alias("skipped"))
+
+
+def api_reranked(hits: DataFrame, responses: DataFrame, top_k: int = DEFAULTS.rerank_docs, threshold: float = DEFAULTS.rerank_threshold) -> DataFrame:
+    """query_id, doc_id, rerank_score, place and filtered of a rerank service's responses (query_id, json) about hits (query_id, doc_id, rank).
+
+    A result names a hit by its index from 0; results without one, below the
+    threshold or beyond top_k of those left go, in the response's order.
+    """
+    kind = "struct<results: array<struct<index: int, relevance_score: double>>>"
+    results = responses.select("query_id", F.posexplode(F.from_json("json", kind)["results"]).alias("nth", "r"))
+    results = results.select("query_id", "nth", F.coalesce("r.index", F.lit(-1)).alias("index"), F.coalesce("r.relevance_score", F.lit(0.0)).alias("rerank_score"))
+    count = F.count("*").over(Window.partitionBy("query_id"))
+    known = hits.select("query_id", "doc_id", (F.col("rank") - 1).alias("index"), count.alias("hits"))
+    passed = results.where((F.col("index") >= 0) & (F.col("rerank_score") >= threshold)).join(known, ["query_id", "index"])
+    passed = passed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("nth"))).where(F.col("place") <= top_k)
+    kept = F.count("*").over(Window.partitionBy("query_id"))
+    return passed.select("query_id", "doc_id", "rerank_score", "place", (F.col("hits") - kept).alias("filtered"))
+
+
+def pool_size(n: int, least: int = DEFAULTS.pool_min) -> int:
+    """Candidates that each leg fetches for n hits."""
+    return max(least, n)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docmill.functions.text import nfc, nfc_path
+
 MANIFEST = "struct<version: string, global_parser_type: string, files: map<string, struct<hash: string, parser_type: string>>>"
 OLD_MANIFEST = "map<string, string>"
 
@@ -79,8 +84,10 @@ def resolved_paths(names: DataFrame, manifest: DataFrame, scanned: DataFrame) ->
 
 
 def upserted(store: DataFrame, fresh: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The store with fresh rows in place of those of the same key."""
-    return store.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    """The store with fresh rows in place of those of the same key; of fresh rows that share a key, the one of least hash."""
+    one = Window.partitionBy(key).orderBy(F.xxhash64(*(F.to_json(F.struct(c)) for c in fresh.columns)))
+    single = fresh.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    return store.join(single.select(key), key, "left_anti").unionByName(single)
 
 
 def cascaded(store: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -120,9 +127,60 @@ def integrity(local: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def evicted(files: DataFrame, keep: int, place: str = "mtime", name: str = "path", within: list[str] | None = None) -> DataFrame:
-    """The files beyond the keep newest, by group if within names one."""
-    newest = Window.partitionBy(*(within or [F.lit(1)])).orderBy(F.col(place).desc(), name)
-    return files.withColumn("r", F.row_number().over(newest)).where(F.col("r") > keep).drop("r")
+    """The files beyond the keep newest, by group if within names one; the newest of all are a top-k, so no task gets all files."""
+    newest = [F.col(place).desc(), F.col(name)]
+    if not within:
+        return files.join(F.broadcast(files.orderBy(*newest).limit(keep).select(name)), name, "left_anti").select(*files.columns)
+    return files.withColumn("r", F.row_number().over(Window.partitionBy(*within).orderBy(*newest))).where(F.col("r") > keep).drop("r")
+
+
+def cleanup_targets(chunks: DataFrame, names: DataFrame, ids: DataFrame) -> DataFrame:
+    """source_id to delete: those of chunks (source_id, src_name) whose file name is in names (name) in either normal form, and ids."""
+    wanted = names.select(nfc(F.col("name")).alias("name")).distinct()
+    found = chunks.withColumn("name", nfc(F.col("src_name"))).join(wanted, "name", "left_semi")
+    return found.select("source_id").union(ids.select("source_id")).where("source_id is not null").distinct()
+
+
+def source_chunks(chunks: DataFrame, name: str) -> DataFrame:
+    """The chunks of a source by name, in whichever normal form either is."""
+    return chunks.where(nfc(F.col("src_name")) == unicodedata.normalize("NFC", name))
+
+
+def reset_collection(path: str, table: DataFrame) -> DataFrame:
+    """The stored table at path emptied; its columns stay."""
+    table.limit(0).write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def switched_parsers(manifest: DataFrame, names: DataFrame, parser: str) -> DataFrame:
+    """The manifest (rel_path, hash, parser_type) with the parser of the named files (name: path or base name) changed.
+
+    A changed file has an empty hash, so the next sync takes it as changed; one that has that parser already stays.
+    """
+    path = nfc_path(F.col("rel_path"))
+    keyed = manifest.withColumn("_keys", F.array(path, F.element_at(F.split(path, "/"), -1)))
+    wanted = names.select(nfc_path(F.col("name")).alias("_key")).distinct()
+    hit = keyed.select("rel_path", F.explode("_keys").alias("_key")).join(wanted, "_key", "left_semi").select("rel_path").distinct().withColumn("_hit", F.lit(True))
+    changed = F.coalesce("_hit", F.lit(False)) & ~F.col("parser_type").eqNullSafe(F.lit(parser))
+    rows = manifest.join(hit, "rel_path", "left")
+    return rows.select("rel_path", F.when(changed, "").otherwise(F.col("hash")).alias("hash"), F.when(changed, parser).otherwise(F.col("parser_type")).alias("parser_type"))
+
+
+def apply_changes(steps: dict[str, Callable[[], object]]) -> list[str]:
+    """Runs a sync's steps in their order: cache flush, cleanup, parse and upsert, index; an error leaves the later ones out."""
+    done = []
+    for name in ("flush", "cleanup", "upsert", "index"):
+        if name in steps:
+            steps[name]()
+            done.append(name)
+    return done
+
+
+def valid_uploads(files: DataFrame, root: str) -> DataFrame:
+    """name, size and path below root of uploads (name, size) that may be stored: a base name without any folder, and some bytes."""
+    base = F.element_at(F.split(F.replace("name", F.lit("\\"), F.lit("/")), "/"), -1)
+    rows = files.withColumn("base", base).where((F.col("size") > 0) & (F.col("base") != "") & ~F.col("base").isin(".", ".."))
+    return rows.select(F.col("base").alias("name"), "size", F.concat(F.lit(root.rstrip("/") + "/"), "base").alias("path"))
 
 
 def parser_of(path: Column, chosen: Column, docling: bool = True) -> Column:

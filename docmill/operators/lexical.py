@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.session import broadcast_if_small
+from docmill.session import Scratch, broadcast_if_small
 from docmill.settings import DEFAULTS, STOPWORDS, Settings
 
 #: The default tokeniser's words.
@@ -27,11 +29,84 @@ def replaced_synonyms(text: Column, synonyms: dict[str, str]) -> Column:
     return text
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf and dl (tokens of the document) of docs (doc_id, text); documents without tokens drop out."""
+#: Stands in an index for a document itself; no token is empty.
+DOCUMENT = ""
+
+
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, tf and dl (tokens of the document) of docs (doc_id, text), with a row of term DOCUMENT for each document.
+
+    One pass tokenises the texts; terms, if given, cut the rows before they are
+    counted. Documents without tokens drop out.
+    """
     tokenised = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    terms = tokenised.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return terms.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    marked = F.explode(F.array_append("tokens", F.lit(DOCUMENT))).alias("term")
+    rows = tokenised.select("doc_id", F.size("tokens").cast("long").alias("dl"), marked).where("dl > 0")
+    if terms is not None:
+        wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(DOCUMENT,)], "term string"))
+        rows = rows.join(broadcast_if_small(wanted, 64), "term", "left_semi")
+    return rows.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+@dataclass
+class LexicalIndex:
+    """Postings in a table, sorted by term, so a few terms read few of its row groups."""
+
+    table: DataFrame
+
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf and dl without the documents' own rows."""
+        return self.table.where(F.col("term") != DOCUMENT)
+
+    def stats(self) -> DataFrame:
+        """n documents and avgdl (1 for none), as one row."""
+        return self.table.where(F.col("term") == DOCUMENT).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+
+    def scores(self, queries: DataFrame, settings: Settings = DEFAULTS, among: DataFrame | None = None) -> DataFrame:
+        """query_id, doc_id and bm25 of every document that shares a term with the query (query_id, text).
+
+        A term counts once for each time it stands in the query. Statistics are
+        those of the whole index, whichever documents (doc_id) are asked for.
+        Query terms and their frequencies are one row a term and go to the
+        postings, which stay where they are until their scores are summed.
+        """
+        asked = asked_terms(queries)
+        known = self.stats().first()
+        posts = self.postings().join(broadcast_if_small(asked.select("term").distinct(), 64), "term", "left_semi")
+        frequencies = document_frequencies(posts, known["n"])
+        weights = asked.join(frequencies, "term").select("query_id", "term", "idf", "times")
+        if among is not None:
+            posts = posts.join(broadcast_if_small(among.select("doc_id").distinct(), 16), "doc_id", "left_semi")
+        matched = posts.join(broadcast_if_small(weights, 96), "term").withColumn("weight", term_weight(settings, known["avgdl"]))
+        return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("bm25"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term and the times it stands in the query (query_id, text)."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def save_index(docs: DataFrame, path: str) -> LexicalIndex:
+    """The index of docs (doc_id, text), written to path; rows are dealt to files by ranges of term and document."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings(docs).repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    dealt.write.mode("overwrite").parquet(path)
+    return load_index(docs.sparkSession, path)
+
+
+def load_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(spark.read.parquet(path))
+
+
+def updated_index(index: LexicalIndex, gone: DataFrame, fresh: DataFrame, path: str) -> LexicalIndex:
+    """The index, in a new folder, without the documents in gone (doc_id), with fresh (doc_id, text) ones; only those are tokenised."""
+    added = postings(fresh)
+    kept = index.table.join(gone.select("doc_id").union(fresh.select("doc_id")).distinct(), "doc_id", "left_anti")
+    rows = kept.select("doc_id", "term", "dl", "tf").unionByName(added)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+    return load_index(rows.sparkSession, path)
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -58,21 +133,11 @@ def term_weight(settings: Settings = DEFAULTS, avgdl: float = 1.0) -> Column:
     return F.col("idf") * (F.col("tf") * (settings.k1 + 1) / norm + settings.delta)
 
 
-def scores(docs: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """query_id, doc_id and bm25 of every document that shares a term with the query (query_id, text).
-
-    A term counts once for each time it stands in the query. Postings are cut to
-    the queries' terms before they are joined or counted.
-    """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = broadcast_if_small(asked.select("term").distinct(), 64)
-    known = corpus_stats(docs).first()
-    posts = postings(docs).join(terms, "term", "left_semi")
-    frequencies = document_frequencies(posts, known["n"])
-    weighted = posts.join(frequencies, "term").withColumn("weight", term_weight(settings, known["avgdl"]))
-    matched = weighted.select("term", "doc_id", "weight").join(broadcast_if_small(asked, 80), "term")
-    return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("bm25"))
+def scores(docs: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, among: DataFrame | None = None) -> DataFrame:
+    """LexicalIndex.scores() without a stored index: one pass keeps the postings of the queries' terms in a scratch table."""
+    wanted = asked_terms(queries).select("term").distinct()
+    table = Scratch(docs.sparkSession).table(postings(docs, wanted), "postings")
+    return LexicalIndex(table).scores(queries, settings, among)
 
 
 def top_hits(scored: DataFrame, n: int, score: str = "bm25", digits: int = 6) -> DataFrame:

@@ -107,7 +107,7 @@ def boxes(spark, sf_dir, key):
 
 
 def bbox_overlap_join(spark, sf_dir):
-    return chunking.overlapping_boxes(boxes(spark, sf_dir, "block_id").where("block_id % 2 = 0"), boxes(spark, sf_dir, "table_id").where("table_id % 2 = 1"))
+    return chunking.overlapping_boxes(boxes(spark, sf_dir, "block_id"), boxes(spark, sf_dir, "table_id"))
 
 
 def point_in_cell_join(spark, sf_dir):
@@ -164,7 +164,7 @@ FROM (SELECT *, min("row") OVER (PARTITION BY table_id) AS m FROM lines) GROUP B
     "table_row_chunks": """SELECT conv_id AS table_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS row_no,
 'Talk ' || conv_id || chr(10) || '| turn | role |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || turn || ' | ' || role || ' |' AS chunk FROM conversations""",
     "bbox_overlap_join": f"""WITH {BOXES} SELECT a.id AS block_id, b.id AS table_id FROM boxes a JOIN boxes b ON a.page = b.page
-AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 WHERE a.id % 2 = 0 AND b.id % 2 = 1""",
+AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
     "point_in_cell_join": f"""WITH {BOXES} SELECT a.id AS point_id, b.id AS cell_id FROM boxes a JOIN boxes b ON a.page = b.page
 AND a.x0 BETWEEN b.x0 AND b.x1 AND a.y0 BETWEEN b.y0 AND b.y1""",
     "base_font_size": """WITH s AS (SELECT l_orderkey % 100 AS doc_id, round(l_quantity / 4, 1) AS size, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem WHERE l_linenumber <= 10 GROUP BY 1, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import lexical
+from docmill.session import Scratch
 from docmill.settings import DEFAULTS, STOPWORDS
 
 
@@ -22,13 +23,12 @@ def bm25_index_stats(spark, sf_dir):
 
 
 def bm25_postings(spark, sf_dir):
-    return lexical.postings(documents(spark, sf_dir)).select("doc_id", "term", "tf", "dl")
+    return lexical.LexicalIndex(lexical.postings(documents(spark, sf_dir))).postings().select("doc_id", "term", "tf", "dl")
 
 
 def bm25_idf(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    n = lexical.corpus_stats(docs).first()["n"]
-    return lexical.document_frequencies(lexical.postings(docs), n).select("term", "df", F.round("idf", 6).alias("idf"))
+    index = lexical.LexicalIndex(Scratch(spark).table(lexical.postings(documents(spark, sf_dir)), "postings"))
+    return lexical.document_frequencies(index.postings(), index.stats().first()["n"]).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_vocabulary(spark, sf_dir):
@@ -46,16 +46,31 @@ def bm25_topn_normalized(spark, sf_dir):
 
 
 def bm25_filtered_topn(spark, sf_dir):
-    docs = lexical.metadata_filter(documents(spark, sf_dir), {"source": "src1", "lang": "en"})
-    hits = lexical.top_hits(lexical.scores(docs, questions(spark, sf_dir)), DEFAULTS.pool_min)
+    """Scores of the whole corpus' statistics; the filter chooses among scored documents."""
+    docs = documents(spark, sf_dir)
+    among = lexical.metadata_filter(docs, {"source": "src1", "lang": "en"})
+    hits = lexical.top_hits(lexical.scores(docs, questions(spark, sf_dir), among=among), DEFAULTS.pool_min)
     return lexical.normalised(hits).select("query_id", "doc_id", "rank", "bm25_norm")
 
 
 def bm25_zero_padding(spark, sf_dir):
-    docs = lexical.metadata_filter(documents(spark, sf_dir), {"source": "src1"})
-    docs = docs.where(F.size(lexical.tokens(F.col("text"))) > 0)
-    scored = lexical.scores(docs, questions(spark, sf_dir))
-    return lexical.padded_top_hits(scored, docs, DEFAULTS.retrieval_k).select("query_id", "doc_id", "rank", "bm25")
+    docs = documents(spark, sf_dir)
+    among = lexical.metadata_filter(docs, {"source": "src1"})
+    scored = lexical.scores(docs, questions(spark, sf_dir), among=among)
+    among = among.where(F.size(lexical.tokens(F.col("text"))) > 0)
+    return lexical.padded_top_hits(scored, among, DEFAULTS.retrieval_k).select("query_id", "doc_id", "rank", "bm25")
+
+
+def bm25_index_roundtrip(spark, sf_dir):
+    """The ranked hits of an index that was saved, loaded, and brought up to date."""
+    docs, root = documents(spark, sf_dir), Scratch(spark).root
+    old = docs.where("doc_id % 5 > 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" old words"))).otherwise(F.col("text")))
+    old = old.select("doc_id", "text").unionByName(docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    lexical.save_index(old, f"{root}/first")
+    gone = docs.select((-1 - F.col("doc_id")).alias("doc_id"))
+    lexical.updated_index(lexical.load_index(spark, f"{root}/first"), gone, docs.where("doc_id % 5 = 0 or doc_id % 7 = 0").select("doc_id", "text"), f"{root}/second")
+    hits = lexical.top_hits(lexical.load_index(spark, f"{root}/second").scores(questions(spark, sf_dir)), DEFAULTS.retrieval_k)
+    return lexical.normalised(hits).select("query_id", "doc_id", "rank", "bm25_norm")
 
 
 def tokenize_stopwords(spark, sf_dir):
@@ -88,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_index_stats, bm25_postings, bm25_idf, bm25_vocabulary, bm25_scores, bm25_topn_normalized,
-        bm25_filtered_topn, bm25_zero_padding, tokenize_stopwords, synonyms_apply, bm25_incremental_corpus,
+        bm25_filtered_topn, bm25_zero_padding, bm25_index_roundtrip, tokenize_stopwords, synonyms_apply, bm25_incremental_corpus,
     )
 }
 
@@ -107,13 +122,13 @@ posts AS (SELECT doc_id, term, dl, count(*) AS tf FROM terms GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df, ln((max(n) + 1.0) / count(*)) AS idf FROM posts, stats GROUP BY term)"""
 
 
-def scores_sql(corpus: str = "documents") -> str:
-    return index_sql(corpus) + f""",
+def scores_sql(among: str = "documents") -> str:
+    return index_sql() + f""",
 asked AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark),
 times AS (SELECT query_id, term, count(*) AS times FROM asked GROUP BY ALL),
 scored AS (
   SELECT query_id, doc_id, round(sum(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) + 1)), 6) AS bm25
-  FROM times JOIN posts USING (term) JOIN dfs USING (term), stats GROUP BY query_id, doc_id),
+  FROM times JOIN posts USING (term) JOIN dfs USING (term), stats WHERE doc_id IN (SELECT doc_id FROM {among}) GROUP BY query_id, doc_id),
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id))::INT AS rank FROM scored)"""
 
 
@@ -130,9 +145,10 @@ SELECT term, first_doc, first_place FROM (SELECT term, doc_id AS first_doc, plac
   row_number() OVER (PARTITION BY term ORDER BY doc_id, place) AS r FROM placed) WHERE r = 1""",
     "bm25_scores": f"WITH {scores_sql()} SELECT query_id, doc_id, bm25 FROM scored",
     "bm25_topn_normalized": f"WITH {scores_sql()} {NORM_SQL} WHERE rank <= 50",
+    "bm25_index_roundtrip": f"WITH {scores_sql()} {NORM_SQL} WHERE rank <= 50",
     "bm25_filtered_topn": f"WITH {scores_sql('(SELECT * FROM documents WHERE source = $$src1$$ AND lang = $$en$$)')} {NORM_SQL} WHERE rank <= 15",
     "bm25_zero_padding": f"""WITH {scores_sql(SRC1)},
-every AS (SELECT q.query_id, d.doc_id FROM (SELECT DISTINCT query_id FROM scored) q, (SELECT doc_id FROM toks WHERE len(t) > 0) d),
+every AS (SELECT q.query_id, d.doc_id FROM (SELECT DISTINCT query_id FROM scored) q, (SELECT doc_id FROM toks WHERE len(t) > 0 AND doc_id IN (SELECT doc_id FROM {SRC1})) d),
 filled AS (SELECT query_id, doc_id, coalesce(bm25, 0.0) AS bm25 FROM every LEFT JOIN scored USING (query_id, doc_id)),
 filled_ranks AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id))::INT AS rank FROM filled)
 SELECT query_id, doc_id, rank, bm25 FROM filled_ranks WHERE rank <= 50""",

@@ -166,7 +166,7 @@ def true_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     items = questions(spark, sf_dir)
     words = items.select("query_id", F.col("text").alias("passage"), F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
-    posts = lexical.postings(docs).select("doc_id", "term")
+    posts = lexical.LexicalIndex(lexical.postings(docs)).postings().select("doc_id", "term")
     rarity = posts.join(broadcast_if_small(words.select("term").distinct(), 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = words.join(rarity, "term").groupBy("query_id", "passage").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     near = rare.join(posts, "term").join(docs.select("doc_id", "text"), "doc_id")
@@ -200,7 +200,7 @@ def golden_sample(spark, sf_dir):
 def golden_cell_accuracy(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     lines = rows.select(F.col("conv_id").alias("file"), F.col("turn").alias("pos"), F.concat("role", F.lit("|"), "text").alias("row"))
-    lookups = rows.select(F.col("conv_id").alias("file"), F.col("turn").alias("id"), F.array("role").alias("keys"), F.substring("text", 1, 12).alias("value"))
+    lookups = rows.select(F.col("conv_id").alias("file"), F.col("turn").alias("id"), F.array(F.concat(F.lit(" ("), "role", F.lit(")"))).alias("keys"), F.concat(F.lit("- "), "text").alias("value"))
     return evaluation.golden_cells(lookups, lines)
 
 
@@ -227,15 +227,13 @@ def event_stream(spark, sf_dir):
 
 def stream_windowed_counts(spark, sf_dir):
     events = event_stream(spark, sf_dir)
-    name = f"windowed_{uuid.uuid4().hex}"
-    found = ingest.drained(ingest.windowed_counts(events), name, f"{shared_dir(spark)}/docmill/streams/{name}")
+    found = ingest.drained(ingest.windowed_counts(events), f"{shared_dir(spark)}/docmill/streams/{uuid.uuid4().hex}")
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_sessions(spark, sf_dir):
     events = event_stream(spark, sf_dir)
-    name = f"sessions_{uuid.uuid4().hex}"
-    found = ingest.drained(ingest.sessions(events), name, f"{shared_dir(spark)}/docmill/streams/{name}")
+    found = ingest.drained(ingest.sessions(events), f"{shared_dir(spark)}/docmill/streams/{uuid.uuid4().hex}")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "finish")})
 
 
@@ -307,9 +305,10 @@ SELECT session, stage, seconds, CASE WHEN sum(seconds) OVER w > 5 THEN first_val
     "mrr": f"WITH {TRUTH} SELECT round(avg(round(coalesce(1.0::DOUBLE / best, 0), 6)), 5) AS mrr FROM best",
     "golden_filter": "SELECT doc_id, round(len(regexp_extract_all(text, '[a-z]'))::DOUBLE / length(text), 6) AS share FROM documents WHERE length(text) > 150 AND len(regexp_extract_all(text, '[a-z]'))::DOUBLE / length(text) > 0.3",
     "golden_sample": "SELECT doc_id FROM documents WHERE length(text) > 150 AND len(regexp_extract_all(text, '[a-z]'))::DOUBLE / length(text) > 0.3 ORDER BY md5('golden|' || doc_id), doc_id LIMIT 50",
-    "golden_cell_accuracy": """WITH l AS (SELECT conv_id AS file, turn AS id, role, substr(text, 1, 12) AS value FROM conversations),
-m AS (SELECT l.file, l.id, l.value, c.role || '|' || c.text AS r, row_number() OVER (PARTITION BY l.file, l.id ORDER BY c.turn) AS n FROM l JOIN conversations c ON c.conv_id = l.file AND contains(c.role || '|' || c.text, l.role)),
-s AS (SELECT l.file, coalesce(contains(m.r, l.value), false)::INT AS hit FROM l LEFT JOIN m ON l.file = m.file AND l.id = m.id AND m.n = 1)
+    "golden_cell_accuracy": r"""WITH l AS (SELECT conv_id AS file, turn AS id, role, regexp_replace(text, '[\s()\-·‧,]', '', 'g') AS value FROM conversations),
+t AS (SELECT conv_id AS file, turn, regexp_replace(role || '|' || text, '[\s()\-·‧,]', '', 'g') AS r FROM conversations),
+m AS (SELECT l.file, l.id, l.value, t.r, row_number() OVER (PARTITION BY l.file, l.id ORDER BY t.turn) AS n FROM l JOIN t ON t.file = l.file AND contains(t.r, l.role)),
+s AS (SELECT l.file, coalesce(l.value <> '' AND contains(m.r, l.value), false)::INT AS hit FROM l LEFT JOIN m ON l.file = m.file AND l.id = m.id AND m.n = 1)
 SELECT file, sum(hit)::BIGINT AS hit, count(*) AS total FROM s GROUP BY ROLLUP (file)""",
     "cer_levenshtein": "SELECT item_id AS query_id, round(levenshtein(replace(text, 'th', 'h'), text)::DOUBLE / greatest(length(text), 1), 6) AS cer FROM benchmark",
     "document_status": "SELECT count(DISTINCT source) AS files, count(*) AS chunks FROM documents",

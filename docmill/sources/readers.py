@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 SUFFIXES = (".pdf", ".md", ".markdown", ".hwp", ".hwpx")
 HIDDEN = r"(^|/)(\._[^/]*|\.DS_Store)$"
 
-CHUNK = "struct<text: string, content: string, parent_text: string, chunk_id: string, metadata: map<string, string>, children: array<string>>"
+#: Keys that may hold a chunk's text, the first that does counts.
+CONTENT = ("text", "content", "parent_text")
 
 
 def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
@@ -35,17 +37,42 @@ def read_markdown(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
     return texts.where(F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) >= least)
 
 
-def flatten_chunks(items: DataFrame, depth: int = 8) -> DataFrame:
-    """content, chunk_id and metadata of nested chunk JSON (json: one object a row), children included to depth."""
-    level = items.select(F.col("json"))
-    out = None
-    for _ in range(depth):
-        parsed = level.select(F.from_json("json", CHUNK).alias("c"))
-        text = F.coalesce(F.nullif("c.text", F.lit("")), F.nullif("c.content", F.lit("")), F.nullif("c.parent_text", F.lit("")))
-        rows = parsed.select(text.alias("content"), F.col("c.chunk_id").alias("chunk_id"), F.coalesce("c.metadata", F.create_map().cast("map<string,string>")).alias("metadata")).where("content is not null")
-        out = rows if out is None else out.unionByName(rows)
-        level = parsed.select(F.explode("c.children").alias("json"))
-    return out
+def flatten_chunks(items: DataFrame) -> DataFrame:
+    """content, chunk_id and metadata of nested chunk JSON (json: one object a row), children of any depth included.
+
+    Depth is unbounded, so a text is walked in Python, with a stack; what isn't an object is left out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for text in batch.column(0).to_pylist():
+                waiting = [_parsed(text)]
+                while waiting:
+                    chunk = waiting.pop()
+                    if not isinstance(chunk, dict):
+                        continue
+                    content = next((chunk[k] for k in CONTENT if isinstance(chunk.get(k), str) and chunk[k]), None)
+                    if content is not None:
+                        notes = chunk.get("metadata") if isinstance(chunk.get("metadata"), dict) else {}
+                        out.append((content, chunk.get("chunk_id"), [(str(k), _shown(v)) for k, v in notes.items()]))
+                    waiting += reversed(chunk.get("children") or [])
+            columns = list(zip(*out)) or [(), (), ()]
+            kinds = (pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["content", "chunk_id", "metadata"])
+
+    return items.select("json").mapInArrow(run, "content string, chunk_id string, metadata map<string, string>")
+
+
+def _parsed(text: str | None) -> object:
+    try:
+        return json.loads(text or "null")
+    except (ValueError, RecursionError):
+        return None
+
+
+def _shown(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +84,7 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_golden(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
     """The first rows of a golden set."""
-    return spark.read.schema("question string, ground_truth string, context string, source string, source_id string").json(path, multiLine=True).limit(most)
+    return spark.read.schema("question string, ground_truth string, context string, source string, source_id string").json(path, multiLine=True).orderBy(F.monotonically_increasing_id()).limit(most)
 
 
 def lookup_file(path: str, default):

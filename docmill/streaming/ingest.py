@@ -43,11 +43,15 @@ def sessions(events: DataFrame, gap: str = "24 hours", late: str = "1 hour") ->
     return grouped.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("finish"), "n")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that a stream gives for what is there now, as a table in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """All that a stream gives for what is there now, written below path and read back."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def kept_alive(tokens, interval: float = 20.0, empty: str = ""):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docmill.functions import splitting, text
+from docmill.functions import layout, splitting, text
 from docmill.operators import chunking, context, evaluation, hybrid, incremental, lexical, vector
 
 
@@ -65,11 +68,58 @@ def test_escapes(spark):
     assert applied(spark, text.escaped_xml, "a & <b>") == "a &amp; &lt;b&gt;"
 
 
-def test_table_repair():
-    assert text.repaired_table("| 회의 중 관련 | 학생 및 교원 |") == "| 회의 중 관련 | 학생 및 교원 |"
-    assert text.repaired_table("| 1 2 3 | 학 교 | --- |") == "| 123 | 학교 | --- |"
-    for cell in ("1 2 3", "학 교 장", "회의 중 관련", "a b 가나 다"):
-        assert text.repaired_cell(text.repaired_cell(cell)) == text.repaired_cell(cell)
+def slow_cell(cell: str) -> str:
+    """A table cell repaired by rules that name what stands at both sides of a gap, until nothing changes."""
+    sign, kept = re.compile("[가-힣A-Za-z0-9]"), "의및중후등수"
+
+    def at(t, i):
+        return t[i] if 0 <= i < len(t) else " "
+
+    def hangul(c):
+        return "가" <= c <= "힣"
+
+    def close(t, wanted):
+        i = 0
+        while i < len(t):
+            j = i
+            while j < len(t) and t[j].isspace():
+                j += 1
+            if j > i and 0 < i and j < len(t) and wanted(t, i, j):
+                t = t[:i] + t[j:]
+            else:
+                i = max(j, i + 1)
+        return t
+
+    def lone(t, i):
+        return sign.match(at(t, i)) and not sign.match(at(t, i - 1)) and not sign.match(at(t, i + 1))
+
+    t = close(cell, lambda t, i, j: t[i - 1].isdigit() and t[j].isdigit())
+    marks = [i for i in range(len(t)) if lone(t, i)]
+    drop = {k for a, b in zip(marks, marks[1:]) if b > a + 1 and not t[a + 1 : b].strip(" ") for k in range(a + 1, b)}
+    t = "".join(c for k, c in enumerate(t) if k not in drop)
+    return t
+
+
+def test_repaired_tables(spark):
+    cases = {
+        "| 회의 중 관련 | 학생 및 교원 |": "| 회의 중 관련 | 학생 및 교원 |",
+        "| 1 2 3 | 학 교 | --- |": "| 123 | 학교 | --- |",
+        "no table 1 2": "no table 1 2",
+        "|  대 학교  | 학교 장 a |:--:|": "|  대학교  | 학교 장a |:--:|",
+        "x 1 2| 3학 년 |1 2": "x 1 2| 3학년 |1 2",
+        "| 가 나다 라 |\nplain 1 2\n| A B C | 12 34 |": "| 가나다라 |\nplain 1 2\n| ABC | 1234 |",
+    }
+    rows = [(i, t) for i, t in enumerate(cases)]
+    df = spark.createDataFrame([*rows, (99, None)], "i int, t string").select("i", text.repaired_tables(F.col("t")).alias("t"))
+    found = {r["i"]: r["t"] for r in df.collect()}
+    assert found.pop(99) is None and [found[i] for i, _ in rows] == list(cases.values())
+    again = spark.createDataFrame([(i, t) for i, t in found.items()], "i int, t string").select("i", text.repaired_tables(F.col("t")).alias("t"))
+    assert {r["i"]: r["t"] for r in again.collect()} == found
+    rng = random.Random(3)
+    cells = ["".join(rng.choice("A B1 2") for _ in range(rng.randint(0, 9))).strip() for _ in range(200)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, t string").select("i", text.repaired_cell(F.col("t")).alias("t"))
+    assert {r["i"]: r["t"] for r in df.collect()} == {i: slow_cell(c) for i, c in enumerate(cells)}
+
 
 
 def test_file_size(spark):
@@ -104,11 +154,11 @@ def test_page_breaks():
 
 def test_glyphs_and_blocks():
     cell = (50, 10, 100, 60)
-    assert splitting.joined_glyphs([(12, 80, "편", 10, 98), (30, 52, "입", 10, 62), (30, 62, "한", 10, 72)], cell) == "편입한"
-    assert splitting.joined_glyphs([(12, 80, "가", 10, 90), (12, 90, ",", 10, 98), (30, 52, "나", 10, 62), (30, 62, "다", 10, 72)], cell) == "가, 나다"
-    assert splitting.joined_blocks([("복", (0, 0, 199, 9)), ("학", (1, 10, 50, 19))], (0, 200)) == "복학"
-    assert splitting.joined_blocks([("Sentence.", (0, 0, 199, 9)), ("Next", (1, 10, 50, 19))], (0, 200)) == "Sentence. Next"
-    assert splitting.joined_blocks([("Hello", (0, 0, 1, 1)), ("World", (0, 2, 1, 3))]) == "Hello World"
+    assert layout.joined_glyphs([(12, 80, "편", 10, 98), (30, 52, "입", 10, 62), (30, 62, "한", 10, 72)], cell) == "편입한"
+    assert layout.joined_glyphs([(12, 80, "가", 10, 90), (12, 90, ",", 10, 98), (30, 52, "나", 10, 62), (30, 62, "다", 10, 72)], cell) == "가, 나다"
+    assert layout.joined_blocks([("복", (0, 0, 199, 9)), ("학", (1, 10, 50, 19))]) == "복학"
+    assert layout.joined_blocks([("Sentence.", (0, 0, 199, 9)), ("Next", (1, 10, 50, 19))]) == "Sentence. Next"
+    assert layout.joined_blocks([("Hello", (0, 0, 1, 1)), ("World", (0, 2, 1, 3))]) == "Hello World"
 
 
 def test_hierarchy():
@@ -210,3 +260,30 @@ def test_manifest_upgrade(spark):
 def test_null_metadata(spark):
     df = spark.createDataFrame([({"meta": "data", "null_val": None},), ({"a": None},)], "m map<string,string>")
     assert [r[0] for r in df.select(incremental.without_null_metadata(F.col("m"))).collect()] == [{"meta": "data"}, {"_is_empty": "true"}]
+
+
+def test_layout_edges():
+    span = {"size": 10, "origin": (50, 12), "text": "ab c"}
+    glyphs = list(layout.span_glyphs(span))
+    assert glyphs[1] == (12, 55.5, "b", 10, 61.0) and layout.joined_glyphs(glyphs) == "ab c"
+    own = {"size": 8, "chars": [{"c": c, "origin": (x, 3.04), "bbox": (x, 0, x + 4, 8)} for c, x in (("x", 0), ("\n", 4), ("\u3000", 4), ("y", 9))]}
+    assert [g[2] for g in layout.span_glyphs(own)] == ["x", " ", "y"]
+    block = {"bbox": (0, 0, 100, 30), "lines": [{"spans": [{"size": 10, "origin": (78, 10), "text": "wo"}]}, {"spans": [{"size": 12.04, "origin": (0, 25), "text": "rd"}]}]}
+    assert layout.block_text(block) == ("wo rd", 12.0)  # the right edge of the line is 89, the margin max(6, 10)
+    block["lines"][0]["spans"][0]["origin"] = (80, 10)
+    assert layout.block_text(block) == ("word", 12.0) and layout.block_text({}) == ("", 0.0)
+    assert layout.joined_blocks([("a ", (0, 0, 199, 9)), ("b", (1, 9, 9, 19)), ("① c", None), ("", None)]) == "a b ① c"
+    assert layout.joined_blocks([("a", (0, 0, 99, 9)), ("b", (1, 9, 9, 19))]) == "a b"  # a narrow column
+
+
+def test_table_pieces():
+    rows = "\n".join(f"r{i} | {'x' * 30}" for i in range(14))
+    body = f"intro\n\na | b\n--|:--\n{rows}\nafter\n| no | rule |\n| at | all |"
+    pieces = splitting.with_tables(body, 100)
+    tables = [p.text.strip() for p in pieces if p.table]
+    assert len(tables) == 7 and all(t.startswith("a | b\n--|:--\n") and len(t) <= 100 for t in tables)
+    assert "".join(t.replace("a | b\n--|:--\n", "\n") for t in tables).strip() == rows
+    assert pieces[0].text == "intro\n\n" and pieces[-1].text == "\n\nafter\n| no | rule |\n| at | all |"
+    short = splitting.children("Some words before. \n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nand some words after it all.")
+    assert len(short) == 1 and short[0].is_table and "| 1 | 2 |" in short[0].text and short[0].text.endswith("after it all.")
+    assert splitting.with_tables("", 10) == [] and [p.table for p in splitting.with_tables("a|b\n-|-", 10)] == [True, False]

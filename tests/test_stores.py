@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from docmill.operators import incremental, lexical, vector
 from docmill.sources import readers, writers
 from docmill.streaming import ingest
 
@@ -27,6 +28,64 @@ def test_processed_json(spark, tmp_path):
     assert [(r["content"], r["chunk_id"]) for r in rows] == [("C", "c1"), ("P", None)]
 
 
+def test_chunks_of_any_depth(spark):
+    nested = None
+    for n in reversed(range(60)):
+        nested = {"content": f"c{n}", "chunk_id": str(n), "metadata": {"n": n, "s": "x"}, "children": [nested, {"text": ""}, 7] if nested else []}
+    rows = readers.flatten_chunks(spark.createDataFrame([(json.dumps(nested),), ("{",), (None,), ("[1]",)], "json string")).collect()
+    assert [r["content"] for r in rows] == [f"c{n}" for n in range(60)] and rows[3]["metadata"] == {"n": "3", "s": "x"}
+
+
+def test_index_files(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red apple red"), (2, "green apple"), (3, ""), (4, None), (5, "blue sky apple")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red apple"), (2, "nothing here")], "query_id long, text string")
+
+    def found(index):
+        return {(r["query_id"], r["doc_id"]): round(r["bm25"], 6) for r in index.scores(asked).collect()}
+
+    index = lexical.save_index(docs, str(tmp_path / "a"))
+    direct = {(r["query_id"], r["doc_id"]): round(r["bm25"], 6) for r in lexical.scores(docs, asked).collect()}
+    assert found(lexical.load_index(spark, str(tmp_path / "a"))) == direct and index.stats().first()["n"] == 3
+    fresh = spark.createDataFrame([(2, "red pear"), (6, "apple")], "doc_id long, text string")
+    updated = lexical.updated_index(index, spark.createDataFrame([(5,)], "doc_id long"), fresh, str(tmp_path / "b"))
+    now = docs.where("doc_id not in (2, 5)").unionByName(fresh)
+    assert found(updated) == {(r["query_id"], r["doc_id"]): round(r["bm25"], 6) for r in lexical.scores(now, asked).collect()}
+    assert lexical.scores(docs.limit(0), asked).count() == 0
+
+
+def test_sync_stores(spark, tmp_path):
+    store = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, n int")
+    fresh = spark.createDataFrame([("b", 3), ("c", 4), ("c", 5), (None, 6)], "chunk_id string, n int")
+    rows = incremental.upserted(store, fresh).collect()
+    assert sorted(r["chunk_id"] or "" for r in rows) == ["", "a", "b", "c"] and {r["n"] for r in rows} >= {1, 3, 6}
+    assert incremental.reset_collection(str(tmp_path / "t"), store).count() == 0
+    files = spark.createDataFrame([(f"f{i}", i % 4) for i in range(9)], "path string, mtime int")
+    assert {r["path"] for r in incremental.evicted(files, 3).collect()} == {f"f{i}" for i in (0, 1, 4, 5, 6, 8)}
+    order = []
+    steps = {n: (lambda n=n: order.append(n)) for n in ("index", "flush", "upsert", "cleanup")}
+    assert incremental.apply_changes(steps) == order == ["flush", "cleanup", "upsert", "index"]
+
+
+def test_neighbours_by_blocks(spark):
+    rows = [(i, [float((i * 7 + k * 3) % 11 - 5) for k in range(6)]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", vector.unit(F.col("embedding")).alias("embedding"))
+    queries = corpus.select(F.col("vec_id").alias("query_id"), "embedding")
+    one, many = ({tuple(r) for r in vector.neighbours(corpus, queries, 5, size).collect()} for size in (1 << 20, 600))
+    assert one == many and len(one) == 300
+    cache = queries.select(F.col("query_id").alias("vec_id"), "embedding").limit(3)
+    assert vector.cache_added(cache, cache.limit(1)).count() == 3 and vector.cache_flushed(cache).count() == 0
+
+
+def test_evaluation_files_and_traces(spark, tmp_path):
+    df = spark.createDataFrame([("2026-01-02 03:04:05", "a")], "timestamp string, k string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    for _ in range(2):
+        writers.append_traces(df, str(tmp_path / "traces"))
+    assert spark.read.json(str(tmp_path / "traces")).where("date = '2026-01-02'").count() == 2
+    writers.write_evaluation(df.select("k"), df.select("k"), str(tmp_path / "eval"))
+    assert spark.read.json(str(tmp_path / "eval/summary")).first()["k"] == "a"
+    assert spark.read.option("header", True).csv(str(tmp_path / "eval/details")).first()["k"] == "a"
+
+
 def test_lookup_default(tmp_path):
     assert readers.lookup_file(str(tmp_path / "none.json"), {}) == {}
 
