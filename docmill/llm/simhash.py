@@ -49,6 +49,8 @@ BLOCKS = {13: (4, 3, 3, 3), 12: (3, 3, 3, 3)}
 THIRD_BLOCKS = {13: (3, 3, 3, 2, 2), 12: (3, 3, 2, 2, 2)}
 #: Fingerprints at one meeting place that are paired; more are split, then go by their neighbours.
 PAIRED = 64
+#: Places whose sizes are broadcast at any size.
+LARGE = 1 << 18
 #: Sets that a task remembers to tell copies; beyond that it starts afresh.
 REMEMBERED = 1 << 17
 
@@ -134,9 +136,16 @@ def neighbour_masks() -> list[int]:
 
 
 def met_at(rows: DataFrame, place: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """rows whose place others share, with n, the fingerprints there."""
-    counts = rows.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
-    return scratch.table(rows.join(counts, place), name)
+    """rows whose place others share, with n, the fingerprints there.
+
+    Rows of large places, LARGE at most as each has more than that share of all
+    rows, learn n by broadcast and stay where they are; the others are dealt out.
+    """
+    counts = scratch.table(rows.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1"), f"{name}-places")
+    most = max(PAIRED, (counts.agg(F.sum("n")).first()[0] or 0) // LARGE)
+    marked = rows.join(F.broadcast(counts.where(F.col("n") > most)), place, "left")
+    dealt = marked.where("n is null").drop("n").join(counts.where(F.col("n") <= most), place)
+    return scratch.table(marked.where("n is not null").unionByName(dealt), name)
 
 
 def pairs_at(rows: DataFrame, place: list[str], places: list[tuple[int, int]]) -> DataFrame:
