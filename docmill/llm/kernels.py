@@ -62,7 +62,11 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     letters in Thue-Morse order and in the other); scrambled eights don't.
     """
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mixed(eights(data)) * powers(MULTIPLIER, len(data)), out=out[1:])
+    values = eights(data)
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(32)  # what makes them non-linear
+    values *= powers(MULTIPLIER, len(data))
+    np.cumsum(values, out=out[1:])
     return out
 
 
