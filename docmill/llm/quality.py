@@ -174,8 +174,45 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality verdict on every document."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "host", "host_rate",
+        "base_failed", "kept", "host", F.round("host_rate", 6).alias("host_rate"),
     )
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
+
+ORACLE = {
+    "op4_quality_rules": r"""WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, source AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), wins AS (
+  SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM docs)
+), twice AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS n FROM wins) WHERE n > 1
+), inside AS (
+  SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY k
+), measured AS (
+  SELECT doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters
+  FROM docs LEFT JOIN inside USING (k)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.25 * n_words
+         OR (n_dup_lines >= 3 AND n_dup_lines > 0.3 * n_lines) OR capitals > 0.6 * letters AS failed
+  FROM measured
+), hosts AS (
+  SELECT host, count(*) AS n, sum(failed::INT) AS f FROM judged WHERE host IS NOT NULL GROUP BY host
+), seen AS (
+  SELECT least(greatest(avg(f / n), 0.001), 0.999) AS m, var_pop(f / n) AS v, avg(1 / n) AS inverse FROM hosts
+), prior AS (
+  SELECT m, greatest(2.0, CASE WHEN v > m * (1 - m) * inverse THEN least(m * (1 - m) / (v - m * (1 - m) * inverse) - 1, 1000.0) ELSE 1000.0 END) AS strength FROM seen
+), rates AS (
+  SELECT host, (f + m * strength) / (n + strength) AS rate FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT failed AND coalesce(rate <= 0.6, true) AS kept, j.host, round(rate, 6) AS host_rate
+FROM judged j LEFT JOIN rates r ON j.host = r.host"""
+}
