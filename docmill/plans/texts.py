@@ -165,6 +165,8 @@ ENTRY = f"""'<document index="' || rank || '">' || chr(10) || '내용: ' || {san
 CONTEXTS = f"{HITS}, contexts AS (SELECT query_id, string_agg({ENTRY}, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id)"
 
 ORACLE = {
+    "file_sizes": """SELECT doc_id, round(s / pow(1024, p), 2)::VARCHAR || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] AS size
+FROM (SELECT doc_id, s, CASE WHEN s > 0 THEN least(4, floor(log2(s) / 10))::INT ELSE 0 END AS p FROM (SELECT doc_id, n_chars::BIGINT * n_chars AS s FROM documents))""",
     "clean_text_general": md5_sql(CLEANED),
     "collapse_newlines": md5_sql(strip_sql(rf"regexp_replace(regexp_replace({quoted(MARKED)} || {WITH_MARK}, '(?im)^\s*-\s*\d+\s*-\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")),
     "strip_annotation": md5_sql(rf"regexp_replace('<a 신설 b>  ' || text, '^{NOTE}\s*', '')"),
