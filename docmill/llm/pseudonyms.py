@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import secrets
 from collections import Counter
+from collections.abc import Iterator
 from datetime import date
 from hashlib import blake2b
 
@@ -48,14 +49,14 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 #: Days that a date may fall on: 1900-01-01 to 2099-12-31.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-#: In every text that CANDIDATE matches: digits, mail addresses, named secrets, and the leads of secrets.
+#: All card networks lead with 2 to 6. HINT is in every text that CANDIDATE matches: digits, mail addresses, named secrets, and the leads of secrets.
 HINT = re.compile(r"[\d@=:]|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA")
 PARTS = {
     "email": r"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))",
     "secret": r"(?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<body>[A-Za-z0-9+/_\-]{16,})|\b(?:sk|pk|ghp|gho|xox[bp])[-_](?P<body2>[A-Za-z0-9_\-]{16,})|\bAKIA(?P<body3>[A-Z0-9]{16})\b)",
     "date": r"(?P<date>(?<![\d.\-/])(?:(?P<y>\d{4})(?P<s1>[\-/.])(?P<m>\d{2})(?P=s1)(?P<d>\d{2})|(?P<d2>\d{2})(?P<s2>[\-/.])(?P<m2>\d{2})(?P=s2)(?P<y2>\d{4}))(?![\d\-/]|\.\d))",
     "ip": r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))",
-    "card": r"(?P<card>(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d]))",
+    "card": r"(?P<card>(?<![\d])[2-6](?:[ \-]?\d){12,18}(?![\d]))",
     "phone": r"(?P<phone>(?<![\w])\+?1[ .\-]\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\d])|(?<![\w])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?![\d])|(?<![\w(])\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\d]))",
 }
 CANDIDATE = re.compile("|".join(PARTS.values()))
@@ -71,9 +72,14 @@ NETWORKS = (
     ("62", (16, 17, 18, 19)),
     ("5018|5020|5038|5893|6304|6759|676[123]", (13, 14, 15, 16, 17, 18, 19)),
 )
-LEADS = [(re.compile(lead), lengths) for lead, lengths in NETWORKS]
-#: What a place may hold if its candidate isn't valid: a phone number, or a card of fewer digits, the longest first.
-OTHERS = [re.compile(PARTS["phone"]), *(re.compile(PARTS["card"].replace("{12,18}", f"{{{n - 1}}}")) for n in range(19, 12, -1))]
+#: Leads of the networks whose numbers have so many digits; no two leads share a number.
+LEADS = {n: re.compile("|".join(lead for lead, lengths in NETWORKS if n in lengths)) for n in range(13, 20)}
+#: What a place may hold if its candidate isn't valid: a phone number, or a card of fewer digits.
+PHONE = re.compile(PARTS["phone"])
+RUN = re.compile(r"[2-6](?:[ \-]?\d){12,18}")
+CARDS = {n: re.compile(PARTS["card"].replace("{12,18}", f"{{{n - 1}}}")) for n in range(19, 12, -1)}
+#: A digit's share of a Luhn sum where it counts double.
+DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 #: What a search leaves behind at a place where nothing is valid.
 TOKEN = re.compile(r"\W*\w+")
 
@@ -136,11 +142,13 @@ def permuted_group(text: str, key: bytes, tweak: bytes, classes: tuple[str, ...]
 
 
 def luhn_digit(body: str) -> str:
-    total = 0
-    for i, c in enumerate(reversed(body)):
-        d = int(c) * (2 if i % 2 == 0 else 1)
-        total += d - 9 if d > 9 else d
-    return str(-total % 10)
+    return str(-(sum(DOUBLED[int(c)] for c in body[-1::-2]) + sum(map(int, body[-2::-2]))) % 10)
+
+
+def card_lead(digits: str) -> int:
+    """How many digits name the network of a valid card; 0 if it isn't one."""
+    kept = network_digits(digits)
+    return kept if kept and luhn_digit(digits[:-1]) == digits[-1] else 0
 
 
 def refilled(shape: str, digits: str) -> str:
@@ -182,7 +190,7 @@ def replacement(m: re.Match, key: bytes, back: bool = False) -> tuple[str, str]
         return kind, new.strftime(f"%Y{s}%m{s}%d" if m.group("y") else f"%d{s}%m{s}%Y")
     digits = re.sub(r"\D", "", whole)
     if kind == "card":
-        if luhn_digit(digits[:-1]) != digits[-1] or not (kept := network_digits(digits)):
+        if not (kept := card_lead(digits)):
             return None
         body = digits[:kept] + permuted_digits(digits[kept:-1], key, b"card" + digits[:kept].encode(), back)
         return kind, refilled(whole, body + luhn_digit(body))
@@ -194,7 +202,8 @@ def replacement(m: re.Match, key: bytes, back: bool = False) -> tuple[str, str]
 
 def network_digits(digits: str) -> int:
     """How many digits name a card's network; 0 if none has numbers like it."""
-    return max((m.end() for lead, lengths in LEADS if len(digits) in lengths and (m := lead.match(digits))), default=0)
+    m = LEADS[len(digits)].match(digits) if len(digits) in LEADS else None
+    return m.end() if m else 0
 
 
 def country_digits(whole: str, digits: str) -> int:
@@ -207,6 +216,17 @@ def country_digits(whole: str, digits: str) -> int:
     return len(lead[1]) if lead else 1
 
 
+def others(text: str, at: int) -> Iterator[re.Match]:
+    """What else the place may hold: a phone number, then valid cards, the longest first."""
+    if m := PHONE.match(text, at):
+        yield m
+    if run := RUN.match(text, at):
+        digits = re.sub(r"\D", "", run.group())
+        for n, card in CARDS.items():
+            if n <= len(digits) and card_lead(digits[:n]) and (m := card.match(text, at)):
+                yield m
+
+
 def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, Counter]:
     """text with its personal data replaced (or restored), and how many of each kind."""
     found: Counter = Counter()
@@ -216,8 +236,7 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
     out, done, at = [], 0, 0
     while m := CANDIDATE.search(text, at):
         if (new := replacement(m, key, back)) is None:
-            others = (x for p in OTHERS if (x := p.match(text, m.start())))
-            m, new = next(((x, y) for x in others if (y := replacement(x, key, back))), (m, None))
+            m, new = next(((x, y) for x in others(text, m.start()) if (y := replacement(x, key, back))), (m, None))
         if new is None:
             at = TOKEN.match(text, m.start()).end()
             continue
