@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ASCII_SPACES = b" \t\n\x0b\x0c\r"
 #: Rows whose texts are unpacked together.
 ROWS = 2000
+#: Ranges of a hash space that a packed exchange deals to in one step.
+FAN = 1 << 12
 
 
 def utf8_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -65,3 +67,15 @@ def map_texts(
 
 def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
     return docs.schema[id_col].dataType.simpleString()
+
+
+def fan_outs(ranges: int) -> tuple[int, int]:
+    """Ranges that senders deal to, and groups that these ranges' rows are merged in before they are dealt on; ranges is a power of two.
+
+    Up to FAN ranges are dealt to at once (one group). More go in two steps of about the
+    square root of their number, so that rows grow with the power 1.5 of the input, not 2.
+    """
+    if ranges <= FAN:
+        return ranges, 1
+    first = 1 << ranges.bit_length() // 2
+    return first, ranges // first

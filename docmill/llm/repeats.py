@@ -9,7 +9,8 @@ document of smaller id, or earlier in the same one) is removed.
    which lie side by side.
 2. Contexts meet by anchor, one entry for each distinct context and task. All
    but the first of equal contexts are covered whole. Anchors with one context
-   are done; first contexts of the others go on.
+   are done; first contexts of the others go on. Beyond 4,096 ranges of anchors
+   they meet in two steps, first with those of some tasks and then of all.
 3. Those contexts' texts come together in blocks by anchor. A block's suffixes
    are sorted to min_length, and breadth-first backward extension on their
    Burrows-Wheeler transform derives common prefixes by increasing value and
@@ -33,10 +34,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import give_back, sliced, utf8_values
+from docmill.llm.columns import fan_outs, give_back, sliced, utf8_values
 from docmill.llm.kernels import mixed, packed, prefix_hashes, span_hashes, unpacked
 from docmill.session import Scratch, broadcast_if_small
 
@@ -158,49 +160,73 @@ FOUND = "id bigint, tie bigint, start bigint, end bigint, code tinyint, anchor b
 COVERED, BLOCKED, SINGLY = 0, 1, 2
 
 
+ENTRY = ("id", "tie", "start", "end", "anchor", "context")
+SENT = "range bigint, sender bigint, " + ", ".join(f"{n} binary" for n in ENTRY)
+
+
+def dealt(held: list[dict[str, np.ndarray]], ranges: int, sender: int, most: int) -> pa.RecordBatch:
+    """Entries packed by range; those known here to be covered go to range -1, and contexts of an anchor beyond most and one to -2."""
+    e = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+    order = np.lexsort((e["start"], e["tie"], e["id"], e["context"], e["anchor"]))
+    new = first_of_equal(order, e["anchor"], e["context"])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    same = (e["id"][first] == e["id"][order]) & (e["tie"][first] == e["tie"][order]) & (e["start"][first] == e["start"][order])
+    later = order[~new & ~same]
+    out = [(-1, [packed(e[n][later]) for n in ("id", "tie", "start", "end")] + [None] * 2)]
+    kept = order[new]
+    # of an anchor with very many contexts here, only as many are sent as tell the others so
+    nth = np.arange(len(kept)) - np.maximum.accumulate(np.where(first_of_equal(kept, e["anchor"]), np.arange(len(kept)), 0))
+    over = kept[nth > most]
+    out.append((-2, [packed(e[n][over]) for n in ("id", "tie", "start", "end")] + [None] * 2))
+    kept = kept[nth <= most]
+    # ranges is a power of two, and an anchor's first bits name its range; only ranges with anchors get a row
+    dealt_to = e["anchor"][kept] >> np.uint64(65 - ranges.bit_length()) if ranges > 1 else np.zeros(len(kept), np.uint64)
+    cuts = np.append(np.flatnonzero(np.append(True, dealt_to[1:] != dealt_to[:-1])), len(kept)) if len(kept) else np.zeros(1, np.int64)
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        some = kept[a:b]
+        out.append((int(dealt_to[a]), [packed(e[n][some], rising=n == "anchor") for n in ENTRY]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r for r, _ in out], pa.int64()), pa.array([sender] * len(out), pa.int64()), *(pa.array([x[i] for _, x in out], pa.binary()) for i in range(6))],
+        names=["range", "sender", *ENTRY],
+    )
+
+
+def unpacked_entries(table: pa.Table) -> list[dict[str, np.ndarray]]:
+    """The entries of each packed row."""
+    columns = {n: [unpacked(x, rising=n == "anchor") for x in table.column(n).to_pylist()] for n in ENTRY}
+    return [{n: c[i] if n in ("anchor", "context") else c[i].view(np.int64) for n, c in columns.items()} for i in range(table.num_rows)]
+
+
 def local_entries(rows: DataFrame, ranges: int, length: int, k: int) -> DataFrame:
     """Packed entries by range of the anchors' hash space; spans that a task knows to be covered (range -1) or hot (-2)."""
 
-    def send(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        e = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-        order = np.lexsort((e["start"], e["tie"], e["id"], e["context"], e["anchor"]))
-        new = first_of_equal(order, e["anchor"], e["context"])
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-        same = (e["id"][first] == e["id"][order]) & (e["tie"][first] == e["tie"][order]) & (e["start"][first] == e["start"][order])
-        later = order[~new & ~same]
-        out = [(-1, [packed(e[n][later]) for n in ("id", "tie", "start", "end")] + [None] * 2)]
-        kept = order[new]
-        # of an anchor with very many contexts here, only as many are sent as tell the others so
-        nth = np.arange(len(kept)) - np.maximum.accumulate(np.where(first_of_equal(kept, e["anchor"]), np.arange(len(kept)), 0))
-        over = kept[nth > HOT_LOCAL]
-        out.append((-2, [packed(e[n][over]) for n in ("id", "tie", "start", "end")] + [None] * 2))
-        kept = kept[nth <= HOT_LOCAL]
-        # ranges is a power of two, and an anchor's first bits name its range; only ranges with anchors get a row
-        dealt = e["anchor"][kept] >> np.uint64(65 - ranges.bit_length()) if ranges > 1 else np.zeros(len(kept), np.uint64)
-        cuts = np.append(np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])), len(kept)) if len(kept) else np.zeros(1, np.int64)
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            some = kept[a:b]
-            out.append((int(dealt[a]), [packed(e[n][some]) for n in ("id", "tie", "start", "end")] + [packed(e["anchor"][some], rising=True), packed(e["context"][some])]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _ in out], pa.int64()), *(pa.array([x[i] for _, x in out], pa.binary()) for i in range(6))],
-            names=["range", "id", "tie", "start", "end", "anchor", "context"],
-        )
-
     def run(batches):
-        held, size = [], 0
+        held, size, sender = [], 0, TaskContext.get().partitionId() << 32
         for batch in sliced(batches):
             ids, ties = (np.array(batch.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
             held.append(entries(ids, ties, utf8_values(batch.column(2)), length, k))
             size += len(held[-1]["anchor"])
             if size >= ANCHORS_AT_ONCE:
-                yield send(held)
-                held, size = [], 0
+                yield dealt(held, ranges, sender, HOT_LOCAL)
+                held, size, sender = [], 0, sender + 1
         if size:
-            yield send(held)
+            yield dealt(held, ranges, sender, HOT_LOCAL)
         held = []
         give_back()
 
-    return rows.mapInArrow(run, "range bigint, id binary, tie binary, start binary, end binary, anchor binary, context binary")
+    return rows.mapInArrow(run, SENT)
+
+
+def dealt_on(sent: DataFrame, ranges: int, groups: int) -> DataFrame:
+    """What a group of senders sent to a range, merged and dealt to the smaller ranges in it, as one sender would."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = pa.Table.from_batches([dealt(unpacked_entries(table), ranges, 0, HOT_LOCAL)])
+        give_back()
+        return out
+
+    own = sent.where("range >= 0").withColumn("sender", F.pmod(F.xxhash64("sender"), F.lit(groups)))
+    return own.groupBy("range", "sender").applyInArrow(run, SENT)
 
 
 def settled(packed_rows: DataFrame) -> DataFrame:
@@ -220,14 +246,12 @@ def met_contexts(packed_rows: DataFrame) -> DataFrame:
     """Spans by what is to be done: later equal contexts are covered, first ones of shared anchors go on."""
 
     def run(table: pa.Table) -> pa.Table:
-        e, local = {}, []
-        for n in ("id", "tie", "start", "end", "anchor", "context"):
-            parts = [unpacked(x, rising=n == "anchor") for x in table.column(n).to_pylist()]
-            e[n] = np.concatenate(parts) if n in ("anchor", "context") else np.concatenate(parts).view(np.int64)
-            if n == "anchor":
-                for p in parts:
-                    distinct, times = np.unique(p, return_counts=True)
-                    local.append(distinct[times > HOT_LOCAL])
+        parts, local = unpacked_entries(table), []
+        e = {n: np.concatenate([p[n] for p in parts]) for n in ENTRY}
+        for p in parts:
+            distinct, times = np.unique(p["anchor"], return_counts=True)
+            local.append(distinct[times > HOT_LOCAL])
+        del parts
         order = np.lexsort((e["start"], e["tie"], e["id"], e["context"], e["anchor"]))
         new = first_of_equal(order, e["anchor"], e["context"])
         anchor = np.cumsum(first_of_equal(order, e["anchor"])) - 1
@@ -416,8 +440,13 @@ def remove_repeats(
     rows = rows.select("id", "tie", "text", "doc_id")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << (size // RANGE_TEXT).bit_length()
-    sent = scratch.table(local_entries(rows.select("id", "tie", "text"), ranges, length, k), "entries")
-    found = scratch.table(settled(sent).unionByName(met_contexts(sent)), "found")
+    first, groups = fan_outs(ranges)
+    sent = scratch.table(local_entries(rows.select("id", "tie", "text"), first, length, k), "entries")
+    known, last = settled(sent), sent
+    if groups > 1:
+        last = scratch.table(dealt_on(sent, ranges, groups), "entries-on")
+        known = known.unionByName(settled(last))
+    found = scratch.table(known.unionByName(met_contexts(last)), "found")
     open_spans = scratch.table(by_document(found.where(F.col("code") != COVERED)), "open")
     context_bytes = found.where(F.col("code") == BLOCKED).agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     blocks = max(1, context_bytes // block_bytes)

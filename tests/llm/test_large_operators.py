@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docmill.llm import decontamination, language_model, mixing, registry, repeats, simhash
+from docmill.llm import columns, decontamination, language_model, mixing, registry, repeats, simhash
 from docmill.llm.components import connected_components
 from docmill.llm.kernels import packed, prefix_hashes, span_hashes, unpacked, word_hashes
 from docmill.session import Scratch
@@ -413,8 +413,11 @@ def test_repeats_query(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in repeats.op9_repeated_strings(spark, FOLDER).collect()} == slow_removed(list(texts_of(spark).items()), 100)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "steps"), [(False, 1), (True, 1), (False, 2), (True, 2)])
+def test_repeats(spark, monkeypatch, hot, steps):
+    if steps == 2:
+        monkeypatch.setattr(columns, "FAN", 2)
+        monkeypatch.setattr(repeats, "RANGE_TEXT", 500)
     if hot:
         monkeypatch.setattr(repeats, "HOT_LOCAL", 2)
         monkeypatch.setattr(repeats, "HOT", 3)
