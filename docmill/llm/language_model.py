@@ -11,8 +11,10 @@ some megabytes; each chunk asks for its distinct n-grams, as sorted hashes cut
 into ranges of the hash space; each range adds up what all chunks hold and
 answers each in the order of its question; the answers come back to the chunk.
 What moves is a few bytes a distinct n-gram and chunk, and a word in every
-document is one entry a chunk; a chunk has a row for each range that it asks, at
-most one for each of its n-grams. Hashes of bigrams and trigrams are as wide as
+document is one entry a chunk; a chunk has a row for each range that it asks.
+Beyond 4,096 ranges a chunk asks larger ones, a group of chunks adds up what it
+asks of each, and the group asks the smaller ranges in it as one chunk would; so
+rows grow with the power 1.5 of the input. Hashes of bigrams and trigrams are as wide as
 the input's size asks for, so that a clash has a chance below 2**-20 for a bigram
 and 2**-12 for a trigram; word hashes have 64 bits.
 
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.columns import give_back, id_type, utf8_values
+from docmill.llm.columns import fan_outs, give_back, id_type, utf8_values
 from docmill.llm.kernels import mixed, packed, unpacked, word_hashes
 from docmill.session import Scratch
 
@@ -153,39 +155,50 @@ def counted_chunk(data: bytes):
     return batch, tokens, contexts, sizes, training
 
 
+NAMES = [n for k in KINDS for n in (k, f"{k}_counts")]
+QUESTION = "range bigint, chunk bigint, " + ", ".join(f"{n} binary" for n in NAMES)
+ANSWER = "chunk bigint, range bigint, " + ", ".join(f"{k}_counts binary" for k in KINDS) + ", n_types bigint, n_tokens bigint"
+
+
+def dealt(own: list[tuple[np.ndarray, np.ndarray]], ranges: int, widths: list[int], chunk: int) -> pa.RecordBatch:
+    """One row for each range that the sorted n-grams of all kinds are in, with them and their counts."""
+    numbers = [range_numbers(distinct, ranges, width) for (distinct, _), width in zip(own, widths)]
+    asked = np.unique(np.concatenate([np.unique(r) for r in numbers]))
+    out = []
+    for (distinct, counts), r in zip(own, numbers):
+        cuts = list(zip(np.searchsorted(r, asked, "left").tolist(), np.searchsorted(r, asked, "right").tolist()))
+        out += [[packed(distinct[a:b], rising=True) for a, b in cuts], [packed(counts[a:b]) for a, b in cuts]]
+    return pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([chunk] * len(asked), pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names=["range", "chunk", *NAMES])
+
+
 def questions(chunks: DataFrame, ranges: int, bits: tuple[int, int]) -> DataFrame:
     """One row a chunk and range that it asks: its n-grams there, with their training counts."""
-    names = ["range", "chunk", *(n for k in KINDS for n in (k, f"{k}_counts"))]
 
     def run(batches):
         for rows in batches:
             for chunk, data in zip(rows.column(0).to_pylist(), rows.column(1)):
                 _, tokens, contexts, sizes, training = counted_chunk(data.as_py())
-                own = []
-                for keys, width in ngram_keys(tokens, contexts, sizes, bits):
-                    distinct, counts, _ = distinct_counts(keys, training)
-                    own.append((distinct, counts, range_numbers(distinct, ranges, width)))
-                asked = np.unique(np.concatenate([np.unique(r) for _, _, r in own]))
-                out = [[] for _ in range(2 * len(own))]
-                for k, (distinct, counts, r) in enumerate(own):
-                    for a, b in zip(np.searchsorted(r, asked, "left").tolist(), np.searchsorted(r, asked, "right").tolist()):
-                        out[2 * k].append(packed(distinct[a:b], rising=True))
-                        out[2 * k + 1].append(packed(counts[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([chunk] * len(asked), pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names=names)
+                keys = ngram_keys(tokens, contexts, sizes, bits)
+                yield dealt([distinct_counts(k, training)[:2] for k, _ in keys], ranges, [w for _, w in keys], chunk)
         give_back()
 
-    return chunks.mapInArrow(run, "range bigint, chunk bigint, " + ", ".join(f"{n} binary" for n in names[2:]))
+    return chunks.mapInArrow(run, QUESTION)
+
+
+def added_up(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of all rows in order, their summed counts, each n-gram's place among them, and where rows end."""
+    parts = [unpacked(k.as_py(), rising=True) for k in keys]
+    distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
+    sums = np.zeros(len(distinct), np.uint64)
+    np.add.at(sums, place, np.concatenate([unpacked(c.as_py()) for c in counts]))
+    return distinct, sums, place, np.cumsum([len(p) for p in parts])[:-1]
 
 
 def answers(asked: DataFrame) -> DataFrame:
     """One row a chunk and range: the corpus counts, in the question's order; n_types and n_tokens once a range."""
 
     def total(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[list[bytes], int, int]:
-        parts = [unpacked(k.as_py(), rising=True) for k in keys]
-        distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.zeros(len(distinct), np.uint64)
-        np.add.at(sums, place, np.concatenate([unpacked(c.as_py()) for c in counts]))
-        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        _, sums, place, cuts = added_up(keys, counts)
         return [packed(x) for x in np.split(sums[place], cuts)], int((sums > 0).sum()), int(sums.sum())
 
     def run(table: pa.Table) -> pa.Table:
@@ -204,8 +217,52 @@ def answers(asked: DataFrame) -> DataFrame:
         give_back()
         return out
 
-    schema = "chunk bigint, range bigint, " + ", ".join(f"{k}_counts binary" for k in KINDS) + ", n_types bigint, n_tokens bigint"
-    return asked.groupBy("range").applyInArrow(run, schema)
+    return asked.groupBy("range").applyInArrow(run, ANSWER)
+
+
+def asked_on(asked: DataFrame, ranges: int, bits: tuple[int, int]) -> DataFrame:
+    """What a group of chunks asks of a range, added up and dealt to the smaller ranges in it, as one chunk (the group) would."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own = [added_up(table.column(k), table.column(f"{k}_counts"))[:2] for k in KINDS]
+        out = pa.Table.from_batches([dealt(own, ranges, [64, *bits], key[1].as_py())])
+        del own
+        give_back()
+        return out
+
+    return asked.drop("chunk").groupBy("range", "group").applyInArrow(run, QUESTION)
+
+
+def answered_back(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """The answers to a group (range, group; the smaller ranges as part), dealt back to its chunks."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("part")
+        out = {"chunk": left.column("chunk"), "range": left.column("range")}
+        for k in KINDS:
+            *_, place, cuts = added_up(left.column(k), left.column(f"{k}_counts"))
+            total = np.concatenate([unpacked(x.as_py()) for x in right.column(f"{k}_counts")])
+            out[f"{k}_counts"] = pa.array([packed(x) for x in np.split(total[place], cuts)], pa.binary())
+        none = pa.array([0] * left.num_rows, pa.int64())
+        give_back()
+        return pa.table(out | {"n_types": none, "n_tokens": none})
+
+    return asked.groupBy("range", "group").cogroup(found.groupBy("range", "group")).applyInArrow(run, ANSWER)
+
+
+def exchanged(chunks: DataFrame, ranges: int, bits: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """answers() to all chunks, the corpus' distinct words and its tokens; through groups of chunks if there are very many ranges."""
+    first, groups = fan_outs(ranges)
+    asked = questions(chunks, first, bits)
+    if groups > 1:
+        asked = scratch.table(asked.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups))), "asked")
+    answered = scratch.table(answers(asked_on(asked, ranges, bits) if groups > 1 else asked), "answers")
+    totals = answered.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    if groups > 1:
+        shift = (ranges // first).bit_length() - 1
+        named = answered.withColumnRenamed("chunk", "group").withColumnRenamed("range", "part").withColumn("range", F.shiftright("part", shift))
+        answered = scratch.table(answered_back(asked, named), "answers-back")
+    return answered, int(totals[0]), int(totals[1])
 
 
 def counted(chunks: DataFrame, answered: DataFrame, bits: tuple[int, int], n_tokens: int, n_types: int, kind: str) -> DataFrame:
@@ -333,9 +390,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = 1 << (size // RANGE_BYTES).bit_length()
     bits = tuple(min(64, max(LEAST_BITS, size.bit_length() + more)) for more in SPARE_BITS)
-    answered = scratch.table(answers(questions(chunks, ranges, bits)), "answers")
-    totals = answered.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    n_types, n_tokens = int(totals[0]), int(totals[1])
+    answered, n_types, n_tokens = exchanged(chunks, ranges, bits, scratch)
     kind = id_type(docs, id_col)
     found = scratch.table(counted(chunks, answered, bits, n_tokens, n_types, kind), "counted")
     weights = learned_weights([(r["code"], r["n"]) for r in ratio_counts(found, n_tokens, n_types).collect()])

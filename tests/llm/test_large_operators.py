@@ -304,8 +304,11 @@ def test_mix_cases(spark):
 
 
 @has_tables
-def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "RANGE_BYTES", 100_000)
+@pytest.mark.parametrize("steps", [1, 2])
+def test_language_model(spark, monkeypatch, steps):
+    monkeypatch.setattr(language_model, "RANGE_BYTES", 100_000 if steps == 1 else 20_000)
+    if steps == 2:
+        monkeypatch.setattr(columns, "FAN", 2)
     rows = {r["doc_id"]: r for r in language_model.op8_language_model(spark, FOLDER).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in texts_of(spark).items()}
     counts: Counter = Counter()
@@ -321,6 +324,19 @@ def test_language_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_do_not_depend_on_the_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    docs = documents(spark, texts).repartition(20)
+    monkeypatch.setattr(language_model, "RANGE_BYTES", 1000)
+    once = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
+    monkeypatch.setattr(columns, "FAN", 4)
+    twice = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
+    for i, r in once.items():
+        assert tuple(twice[i])[:5] == tuple(r)[:5]
+        assert (twice[i]["base_score"], twice[i]["score"]) == (pytest.approx(r["base_score"]), pytest.approx(r["score"]))
+
+
 def test_model_is_a_distribution(spark):
     """Scores equal a plain trigram model with the same weights, which sums to one over the known words and one unknown."""
     texts = ["a b a b c", "a c", "b b a", "c a b", "a b", None, "", "zz a"] * 3
