@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 ASCII_SPACES = b" \t\n\x0b\x0c\r"
 #: Rows whose texts are unpacked together.
 ROWS = 2000
-#: Ranges of a hash space that a packed exchange deals to in one step.
-FAN = 1 << 12
+#: Ranges of a hash space that a packed exchange deals to in one step. A chunk's n-grams take 11.8 MB in 64 ranges, 13.6 in
+#: 4,096, 16.7 in 16,384 and 27.4 in 65,536 (measured); a second step moves all once more.
+FAN = 1 << 14
 
 
 def utf8_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

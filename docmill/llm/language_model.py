@@ -12,7 +12,7 @@ into ranges of the hash space; each range adds up what all chunks hold and
 answers each in the order of its question; the answers come back to the chunk.
 What moves is a few bytes a distinct n-gram and chunk, and a word in every
 document is one entry a chunk; a chunk has a row for each range that it asks.
-Beyond 4,096 ranges a chunk asks larger ones, a group of chunks adds up what it
+Beyond 16,384 ranges a chunk asks larger ones, a group of chunks adds up what it
 asks of each, and the group asks the smaller ranges in it as one chunk would; so
 rows grow with the power 1.5 of the input. Hashes of bigrams and trigrams are as wide as
 the input's size asks for, so that a clash has a chance below 2**-20 for a bigram

@@ -9,7 +9,7 @@ document of smaller id, or earlier in the same one) is removed.
    which lie side by side.
 2. Contexts meet by anchor, one entry for each distinct context and task. All
    but the first of equal contexts are covered whole. Anchors with one context
-   are done; first contexts of the others go on. Beyond 4,096 ranges of anchors
+   are done; first contexts of the others go on. Beyond 16,384 ranges of anchors
    they meet in two steps, first with those of some tasks and then of all.
 3. Those contexts' texts come together in blocks by anchor. A block's suffixes
    are sorted to min_length, and breadth-first backward extension on their
