@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -150,49 +152,94 @@ def nfc_path(path: Column) -> Column:
     return nfc(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
-#: Gaps in table cells, each with what stands at both sides: between digits, between lone signs, after a counted number.
+#: White space as Java's (?U)\s has it, and the same as signs to strip.
+BLANK = r"[^\S\x1c-\x1f]"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.match(BLANK, c))
+#: Gaps in table cells with what stands before: between digits, between lone signs, after a counted number.
 WORD_SIGNS = "가-힣A-Za-z0-9"
-GAPS = (
-    r"(?U)(?<=\d)\s+(?=\d)",
-    rf"(?U)(?<=(?<![{WORD_SIGNS}])[{WORD_SIGNS}]) +(?=[{WORD_SIGNS}](?![{WORD_SIGNS}]))",
-    rf"(?U)(?<=[0-9][가-힣])\s+(?=(?![{KEPT_LETTERS}])[가-힣](?![{WORD_SIGNS}]))",
-)
-#: A lone syllable before a word, and after one; closed until none is left.
-LONE_SYLLABLES = (
-    rf"(?U)(?<![{WORD_SIGNS})])((?![{KEPT_LETTERS}])[가-힣])\s+([가-힣]{{2,}})",
-    rf"(?U)([가-힣]{{2,}})\s+((?![{KEPT_LETTERS}])[가-힣](?![{WORD_SIGNS}]))",
+GAPS = tuple(
+    re.compile(p)
+    for p in (
+        rf"(\d){BLANK}+(?=\d)",
+        rf"((?<![{WORD_SIGNS}])[{WORD_SIGNS}]) +(?=[{WORD_SIGNS}](?![{WORD_SIGNS}]))",
+        rf"([0-9][가-힣]){BLANK}+(?=(?![{KEPT_LETTERS}])[가-힣](?![{WORD_SIGNS}]))",
+    )
 )
+#: Words of Hangul with gaps between; a sign that keeps a lone syllable from the word after it, and from the word before.
+HANGUL_WORDS = re.compile(rf"(?<![가-힣])[가-힣]++(?:{BLANK}++[가-힣]++)+")
+HANGUL_GAP = re.compile(rf"({BLANK}+)")
+HELD_BEFORE = re.compile(rf"[{WORD_SIGNS})]")
+HELD_AFTER = re.compile(rf"[{WORD_SIGNS}]")
+RULE_CELL = re.compile(":?-+:?")
 
 
-def repaired_cell(cell: Column) -> Column:
-    """A table cell with the gaps that layout tore into numbers and words closed again.
+def joined_syllables(found: re.Match[str]) -> str:
+    """Words of Hangul with their lone syllables joined to longer words, as in rounds that go on until nothing changes.
 
-    Each pass over lone syllables closes a gap or changes nothing, so as many passes as the cell has gaps reach the end.
+    In a round each lone syllable right before a longer word joins it, then each one right after. So those between two
+    longer words are halved, the later half being the larger, and those beside one longer word all go there. Kept letters,
+    and syllables that touch other signs, stay lone and part what is on their sides.
     """
+    parts = HANGUL_GAP.split(found[0])
+    words, gaps = parts[::2], parts[1::2]
+    loose = [len(w) == 1 and w not in KEPT_LETTERS for w in words]
+    loose[0] &= not HELD_BEFORE.match(found.string[found.start() - 1 : found.start()])
+    loose[-1] &= not HELD_AFTER.match(found.string, found.end())
+    if not any(loose):
+        return found[0]
+    last = -1
+    for place in range(len(words) + 1):
+        if place < len(words) and loose[place]:
+            continue
+        n = place - last - 1
+        after = last >= 0 and len(words[last]) > 1
+        before = place < len(words) and len(words[place]) > 1
+        backward = (n // 2 if before else n) if after else 0
+        forward = n - backward if before else 0
+        gaps[last : last + backward] = [""] * backward
+        gaps[place - forward : place] = [""] * forward
+        last = place
+    return "".join(w + g for w, g in zip(words, [*gaps, ""], strict=True))
+
+
+def cell_repaired(cell: str) -> str:
+    """repaired_cell() of one text."""
     for gap in GAPS:
-        cell = F.regexp_replace(cell, gap, "")
+        cell = gap.sub(r"\1", cell)
+    return cell if cell.isascii() else HANGUL_WORDS.sub(joined_syllables, cell)
 
-    def closed(text: Column) -> Column:
-        for pattern in LONE_SYLLABLES:
-            text = F.regexp_replace(text, pattern, "$1$2")
-        return text
 
-    gaps = F.sequence(F.lit(0), F.regexp_count(cell, F.lit(rf"{SPACE}+")))
-    return F.aggregate(gaps, cell, lambda text, _: closed(text))
+def tables_repaired(text: str) -> str:
+    """repaired_tables() of one text."""
 
+    def inner(cell: str) -> str:
+        bare = cell.strip(BLANKS)
+        if not bare or RULE_CELL.fullmatch(bare):
+            return cell
+        return cell[: len(cell) - len(cell.lstrip(" "))] + cell_repaired(bare) + cell[len(cell.rstrip(" ")) :]
 
-def repaired_tables(text: Column) -> Column:
-    """repaired_cell() on the inner cells of every line with pipes; rule and blank cells and the blanks around a cell stay."""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if "|" in line:
+            first, *cells, last = line.split("|")
+            lines[i] = "|".join([first, *map(inner, cells), last])
+    return "\n".join(lines)
+
+
+def by_text(text: Column, rule: Callable[[str], str]) -> Column:
+    """rule on every text that isn't null."""
 
-    def cell(value: Column) -> Column:
-        bare = stripped(value)
-        fixed = F.concat(F.regexp_extract(value, "^ *", 0), repaired_cell(bare), F.regexp_extract(value, " *$", 0))
-        return F.when((bare == "") | bare.rlike("^:?-+:?$"), value).otherwise(fixed)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None else rule(v))
 
-    def line(value: Column) -> Column:
-        cells = F.split(value, r"\|")
-        last = F.size(cells) - 1
-        inner = F.transform(cells, lambda c, i: F.when((i == 0) | (i == last), c).otherwise(cell(c)))
-        return F.when(F.contains(value, F.lit("|")), F.array_join(inner, "|")).otherwise(value)
+    return F.pandas_udf(run, StringType())(text)
 
-    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+def repaired_cell(cell: Column) -> Column:
+    """A table cell with the gaps that layout tore into numbers and words closed again, in one pass; Spark has no function for it."""
+    return by_text(cell, cell_repaired)
+
+
+def repaired_tables(text: Column) -> Column:
+    """repaired_cell() on the inner cells of every line with pipes; rule and blank cells and the blanks around a cell stay."""
+    return by_text(text, tables_repaired)
